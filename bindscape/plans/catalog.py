@@ -1,6 +1,13 @@
 """Importing this module registers every query."""
 
-from bindscape.plans import interval_queries, peak_queries  # noqa: F401
+from bindscape.plans import (  # noqa: F401
+    interval_queries,
+    metric_queries,
+    normalize_queries,
+    peak_queries,
+    rank_queries,
+    signal_queries,
+)
 from bindscape.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
