@@ -6,6 +6,8 @@ from bindscape.plans import (  # noqa: F401
     normalize_queries,
     peak_queries,
     rank_queries,
+    sample_queries,
+    sequence_queries,
     signal_queries,
 )
 from bindscape.plans.registry import ORACLES, QUERIES

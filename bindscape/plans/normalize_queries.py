@@ -163,7 +163,7 @@ BLEND = {
 }
 
 
-@query(sql("""SELECT t.sample_id, t.chrom, t.start, round(CASE WHEN t.features[1]=0 THEN 0 ELSE t.features[1]*coalesce(o.o,1)+coalesce(m.m,0) END, 1) AS blend
+@query(sql("""SELECT t.sample_id, t.chrom, t.start, round(round(CASE WHEN t.features[1]=0 THEN 0 ELSE t.features[1]*coalesce(o.o,1)+coalesce(m.m,0)+1e-9 END, 2), 1) AS blend
     FROM tseg t LEFT JOIN own o USING (segment) LEFT JOIN mix m ON m.sample_id=t.sample_id AND m.chrom=t.chrom AND m.start=t.start""", **BLEND))
 def segment_knn_blend(spark, sf):
     df = _panel(spark, sf).withColumn("x", F.col("x").cast("double")).withColumn("raw", F.col("x"))
