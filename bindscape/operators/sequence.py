@@ -98,6 +98,35 @@ def _codes(pdf_row, flank: int, reverse: bool) -> np.ndarray:
     return np.concatenate([np.zeros(missing, dtype=np.int8), raw]).astype(np.intp)
 
 
+class _Rows:
+    """Gathers output pieces into frames of a reasonable size."""
+
+    def __init__(self, columns: list[str], limit: int = 100_000) -> None:
+        self.columns, self.limit, self.parts, self.n = columns, limit, [], 0
+
+    def add(self, n: int, *values) -> Iterator[pd.DataFrame]:
+        if n:
+            self.parts.append((n, values))
+            self.n += n
+        if self.n >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pd.DataFrame]:
+        if not self.n:
+            return
+        sizes = [n for n, _ in self.parts]
+        data = {}
+        for i, c in enumerate(self.columns):
+            pieces = [v[i] for _, v in self.parts]
+            if isinstance(pieces[0], np.ndarray):
+                whole = np.concatenate(pieces)
+                data[c] = list(whole) if whole.ndim > 1 else whole
+            else:
+                data[c] = np.repeat(np.array(pieces, dtype=object), sizes)
+        self.parts, self.n = [], 0
+        yield pd.DataFrame(data)
+
+
 def pwm_scan(seqs: DataFrame, pwms: DataFrame, *, strand: str = "+", chunk: int = 100_000) -> DataFrame:
     """``chrom, motif, pos, score`` for every position whose window ends inside
     the sequence; the window of ``pos`` starts half a matrix before it."""
@@ -111,13 +140,15 @@ def pwm_scan(seqs: DataFrame, pwms: DataFrame, *, strand: str = "+", chunk: int
     ])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Rows(["chrom", "motif", "pos", "score"])
         for pdf in batches:
             for row in pdf.itertuples():
                 scores = strand_scores(_codes(row, flank, reverse), mats, reverse)
                 n = min(scores.shape[1], chunk, max(row.length - length + 1 - row.chunk_start, 0))
                 pos = row.chunk_start + np.arange(n)
                 for i, motif in enumerate(names):
-                    yield pd.DataFrame({"chrom": row.chrom, "motif": motif, "pos": pos, "score": scores[i, :n].astype(float)})
+                    yield from out.add(n, row.chrom, motif, pos, scores[i, :n].astype(float))
+        yield from out.flush()
 
     return chunk_sequences(seqs, size=chunk, before=flank, after=length).mapInPandas(scan, schema)
 
@@ -146,6 +177,7 @@ def motif_top_scores(
         return np.partition(windows, width - count, axis=2)[:, :, width - count :]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Rows(["motif", "chrom", "start", "top"])
         for pdf in batches:
             for row in pdf.itertuples():
                 if row.length < width:
@@ -166,7 +198,8 @@ def motif_top_scores(
                     top[:, :scored] = pool[:, :, :k]
                 start = row.chunk_start + step * np.arange(owned)
                 for i, motif in enumerate(names):
-                    yield pd.DataFrame({"motif": motif, "chrom": row.chrom, "start": start, "top": list(top[i])})
+                    yield from out.add(owned, motif, row.chrom, start, top[i])
+        yield from out.flush()
 
     chunks = chunk_sequences(seqs, size=size, before=flank, after=width + length)
     return chunks.mapInPandas(scan, schema)

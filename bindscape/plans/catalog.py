@@ -3,6 +3,7 @@
 from bindscape.plans import (  # noqa: F401
     interval_queries,
     metric_queries,
+    model_queries,
     normalize_queries,
     peak_queries,
     rank_queries,

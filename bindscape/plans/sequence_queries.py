@@ -75,7 +75,7 @@ def pwm_scan_reverse(spark, sf):
 
 
 def _scan_summary(spark, sf, strand):
-    out = sq.pwm_scan(v.sequences(spark, sf), pwms(spark, sf), strand=strand, chunk=1000)
+    out = sq.pwm_scan(v.sequences(spark, sf), pwms(spark, sf), strand=strand)
     return out.groupBy("chrom", "motif").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"),
         F.sum(F.col("score") * (F.col("pos") % 97)).alias("checksum"),
@@ -84,7 +84,7 @@ def _scan_summary(spark, sf, strand):
 
 @query(sql("SELECT motif, chrom, start, " + ", ".join(f"CAST(top[{i}] AS DOUBLE) AS t{i}" for i in range(1, 5)) + " FROM tops", **SCAN))
 def motif_top_scores(spark, sf):
-    out = sq.motif_top_scores(v.sequences(spark, sf), pwms(spark, sf), chunk_bins=20)
+    out = sq.motif_top_scores(v.sequences(spark, sf), pwms(spark, sf))
     return out.select("motif", "chrom", "start", *[F.get("top", F.lit(i)).cast("double").alias(f"t{i + 1}") for i in range(4)])
 
 
@@ -107,7 +107,7 @@ def motif_feature_matrix(spark, sf):
 
 # scan report rows: part brands as motifs, one scan per supplier nation
 REPORT = {
-    "report": """SELECT CAST(s_nationkey%5 AS INTEGER) AS scan, row_number() OVER (PARTITION BY s_nationkey%5 ORDER BY l_orderkey, l_linenumber) AS row_no,
+    "report": """SELECT CAST(s_nationkey%5 AS INTEGER) AS scan, row_number() OVER (PARTITION BY s_nationkey%5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_no,
       l_linenumber=1 AS is_top, CASE WHEN p_size%4=0 THEN 'denovo' || CAST(p_size AS VARCHAR) ELSE p_brand END AS name
       FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN part ON l_partkey=p_partkey""",
     "named": "SELECT *, sum(CAST(is_top AS INTEGER)) OVER (PARTITION BY scan ORDER BY row_no) AS cno FROM report",
@@ -122,11 +122,11 @@ def _report(spark, sf):
 
     li, s, p = (v.table(spark, sf, t) for t in ("lineitem", "supplier", "part"))
     rows = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey).select(
-        (F.col("s_nationkey") % 5).cast("int").alias("scan"), "l_orderkey", "l_linenumber",
+        (F.col("s_nationkey") % 5).cast("int").alias("scan"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         (F.col("l_linenumber") == 1).alias("is_top"),
         F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("denovo"), F.col("p_size").cast("string"))).otherwise(F.col("p_brand")).alias("name"),
     )
-    return value_index(rows, ["scan"], "l_orderkey", ["l_linenumber"], name="row_no")
+    return value_index(rows, ["scan"], "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], name="row_no")
 
 
 @query(sql("SELECT scan, CAST(cluster_no AS BIGINT) AS cluster_no, name FROM reps", **REPORT))
