@@ -24,6 +24,9 @@ BUCKET = "__bucket"
 POSITION_BUCKET = 1 << 16
 ONE_TASK_ROWS = 1_000_000  # a group up to this size is sorted by one task
 BROADCAST_ROWS = 100_000
+SPLIT_PIECES = 128  # value buckets of a large group
+SPLIT_ONE_IN = 1024  # one key in this many steers the splitters
+SPLIT_MIN_PICKED = 1024
 
 
 def _ordered(order: Sequence[str], descending: bool) -> list[Column]:
@@ -100,26 +103,18 @@ def position_bucket(df: DataFrame, by: Sequence[str], position: str) -> Column |
     return F.floor(F.col(position) / F.lit(POSITION_BUCKET)).cast("bigint")
 
 
-def with_value_bucket(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    *,
-    pieces: int = 128,
-    one_in: int = 1024,
-    min_picked: int = 1024,
-) -> DataFrame:
+def with_value_bucket(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Add a bucket monotone in ``value``, balanced for large groups.
 
     Splitters are exact percentiles over the rows whose key hash falls in one
-    of ``one_in`` classes.  They only steer how the work is divided: any
-    splitters give the same results.  Groups with fewer than ``min_picked``
-    picked rows (about a million rows) stay in one bucket.
+    of ``SPLIT_ONE_IN`` classes.  They only steer how the work is divided: any
+    splitters give the same results.  Groups with fewer than
+    ``SPLIT_MIN_PICKED`` picked rows (about a million rows) stay in one bucket.
     """
     by = list(by)
-    picked = df.where(F.pmod(F.xxhash64(*by, value), F.lit(one_in)) == 0)
-    marks = [i / pieces for i in range(1, pieces)]
-    agg = F.when(F.count(F.lit(1)) >= min_picked, F.percentile(value, F.array(*map(F.lit, marks))))
+    picked = df.where(F.pmod(F.xxhash64(*by, value), F.lit(SPLIT_ONE_IN)) == 0)
+    marks = [i / SPLIT_PIECES for i in range(1, SPLIT_PIECES)]
+    agg = F.when(F.count(F.lit(1)) >= SPLIT_MIN_PICKED, F.percentile(value, F.array(*map(F.lit, marks))))
     bucket = F.coalesce(
         F.size(F.filter("__splits", lambda s: s < F.col(value))), F.lit(0)
     ).cast("bigint")

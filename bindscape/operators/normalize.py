@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from bindscape.functions.prefix import (
     BUCKET,
-    POSITION_BUCKET,
+    position_bucket,
     bucketed_prefix,
     exact_quantiles,
     join_values,
-    largest_group,
-    ONE_TASK_ROWS,
     running_by_value,
     value_index,
 )
@@ -166,9 +164,7 @@ def run_segments(df: DataFrame, *, ids: str = "cp_id", by: Sequence[str] = ("chr
     by = list(by)
     token = F.trim(F.element_at(F.split(F.when(F.col(ids) == ".", "0").otherwise(F.col(ids)), ","), 1))
     rows = settle(df.withColumn("__token", token))
-    bucket = None
-    if largest_group(rows, by) > ONE_TASK_ROWS:
-        bucket = F.floor(F.col(order) / F.lit(POSITION_BUCKET)).cast("bigint")
+    bucket = position_bucket(rows, by, order)
     rows = rows.withColumn(BUCKET, bucket if bucket is not None else F.lit(0).cast("bigint"))
     keys = by + [BUCKET]
     inside = Window.partitionBy(*keys).orderBy(order)

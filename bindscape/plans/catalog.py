@@ -10,6 +10,7 @@ from bindscape.plans import (  # noqa: F401
     sample_queries,
     sequence_queries,
     signal_queries,
+    source_queries,
 )
 from bindscape.plans.registry import ORACLES, QUERIES
 
