@@ -1,4 +1,4 @@
-"""Session-level helpers: durable checkpoints, scratch folders, size checks."""
+"""Session-level helpers: durable intermediate tables, spreading, size checks."""
 
 from __future__ import annotations
 
@@ -17,15 +17,6 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor costs no recompute chain."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -38,8 +29,27 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/bindscape/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/bindscape/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has settled; call when its results are out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Repartition to a fixed count before work whose cost the bytes do not
+    show (row generation, Python scans, repeated passes); a fixed count is not
+    coalesced at run time."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *cols)
 
 
 def rows_if_small(df: DataFrame, max_rows: int):

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindscape.functions.prefix import bucketed_prefix, position_bucket
-from bindscape.functions.session import settle
+from bindscape.functions.session import settle, spread
 
 KEY = ("chrom", "start", "stop")
 BLOCK_BINS = 20_000
@@ -32,7 +32,7 @@ def tile(sizes: DataFrame, *, width: int = 200, step: int = 50) -> DataFrame:
             F.sequence(F.lit(0).cast("bigint"), (F.col("length") - width - 1).cast("bigint"), F.lit(span).cast("bigint"))
         ).alias("block"),
     )
-    blocks = blocks.repartition("chrom", "block")
+    blocks = spread(blocks, "chrom", "block")
     last = F.least(F.col("block") + (span - step), F.col("length") - width - 1).cast("bigint")
     return blocks.select(
         "chrom", F.explode(F.sequence("block", last, F.lit(step).cast("bigint"))).alias("start")

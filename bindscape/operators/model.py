@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from bindscape.functions.hashing import stable_hash
 from bindscape.functions.prefix import hash_index
 from bindscape.functions.scalars import sigmoid
-from bindscape.functions.session import settle
+from bindscape.functions.session import settle, spread
 from bindscape.operators import labels as lb, metrics as mt
 from bindscape.operators.signal import C, join_features
 
@@ -244,7 +244,7 @@ def train_boosted(
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     start = F.col(init_margin).cast("double") if init_margin else F.lit(0.0)
     rows = settle(
-        df.select(
+        spread(df).select(
             array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("x"),
             F.col(y).cast("double").alias("y"), w.alias("w"), F.col(set_name).alias("set_name"), start.alias("margin"),
         )

@@ -272,7 +272,8 @@ def knn_blend(
     mean(1 - r).  Zeros of the raw signal stay 0; undefined results fall back
     to raw.
     """
-    weights = blend_weights(df, normed, panel, n_panel, q, r_min, by)
+    # settled: one row per segment, broadcast by the planner when small
+    weights = settle(blend_weights(df, normed, panel, n_panel, q, r_min, by))
     mixed = F.aggregate(
         F.zip_with(panel, "__w", lambda v, w: v * w), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))
     )

@@ -221,7 +221,7 @@ def _per_group(ranks: DataFrame, group: Sequence[str], fn, fields: list[T.Struct
     keys = list(group) or ["__g"]
     schema = T.StructType([keyed.schema[k] for k in keys] + fields)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = fn(pdf)
         for k, value in zip(keys, key):
             out[k] = value

@@ -32,7 +32,7 @@ def top_quality(samples: DataFrame, n: int, *, by: Sequence[str] = ("role",)) ->
     """The ``n`` best samples per role by numeric quality (ties by id)."""
     from pyspark.sql import Window
 
-    # sample lists are metadata: one short list per role
+    # "row_number <= n" is cut to n rows per task and role before the shuffle
     order = Window.partitionBy(*by).orderBy(F.col("quality").desc(), F.col("sample_id"))
     return samples.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
 

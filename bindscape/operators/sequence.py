@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from bindscape.functions.session import rows_if_small
+from bindscape.functions.prefix import bucketed_prefix, position_bucket, value_index
+from bindscape.functions.session import rows_if_small, settle, spread
 from bindscape.operators.signal import offset_features
 
 MAX_PWM_ROWS = 1_000_000  # total matrix rows shipped to tasks
@@ -65,10 +66,11 @@ def chunk_sequences(seqs: DataFrame, *, size: int, before: int, after: int) -> D
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
     cut = seqs.select("chrom", F.length("seq").alias("length"), "seq", starts.alias("chunk_start"))
     lead = F.least(F.col("chunk_start"), F.lit(before))
-    return cut.select(
+    pieces = cut.select(
         "chrom", "length", "chunk_start", lead.alias("lead"),
         F.substring("seq", F.col("chunk_start") - lead + 1, lead + F.lit(size + after)).alias("seq"),
-    ).repartition("chrom", "chunk_start")
+    )
+    return spread(pieces, "chrom", "chunk_start")
 
 
 # fixed values: base letters in code order
@@ -241,16 +243,12 @@ def cluster_representatives(scan_rows: DataFrame, *, limit: int = 10) -> DataFra
     ``scan_rows``: ``scan, row_no, is_top, name``; a cluster runs from one top
     row to the next.  The last cluster ends with the table.
     """
-    from pyspark.sql import Window
-
-    # one scan table is one report page, so its window is short
-    walk = Window.partitionBy("scan").orderBy("row_no")
-    named = scan_rows.withColumn("cluster_no", F.sum(F.col("is_top").cast("int")).over(walk)).where("cluster_no > 0")
-    first = drop_denovo(named).groupBy("scan", "cluster_no").agg(F.min_by("name", "row_no").alias("name"))
-    order = Window.partitionBy("scan").orderBy("cluster_no")
-    return first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select(
-        "scan", F.col("cluster_no").cast("bigint").alias("cluster_no"), "name"
-    )
+    rows = settle(scan_rows.select("scan", "row_no", "name", F.col("is_top").cast("bigint").alias("top")))
+    bucket = position_bucket(rows, ["scan"], "row_no")
+    named = bucketed_prefix(rows, ["scan"], ["row_no"], bucket, sums={"cluster_no": "top"}).where("cluster_no > 0")
+    first = settle(drop_denovo(named).groupBy("scan", "cluster_no").agg(F.min_by("name", "row_no").alias("name")))
+    ranked = value_index(first, ["scan"], "cluster_no", [], name="r")
+    return ranked.where(F.col("r") <= limit).select("scan", "cluster_no", "name")
 
 
 def choose_cofactors(scan_rows: DataFrame, zscores: DataFrame, *, n: int = 10, limit: int = 10) -> DataFrame:
