@@ -7,9 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindscape.functions.prefix import running_by_value, value_index
 from bindscape.functions.session import settle
@@ -216,21 +214,6 @@ def robust(ranks: DataFrame, *, group: Sequence[str] = ()) -> DataFrame:
     return _rank_items(scored, group)
 
 
-def _per_group(ranks: DataFrame, group: Sequence[str], fn, fields: list[T.StructField]) -> DataFrame:
-    keyed = ranks if group else ranks.withColumn("__g", F.lit(0))
-    keys = list(group) or ["__g"]
-    schema = T.StructType([keyed.schema[k] for k in keys] + fields)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fn(pdf)
-        for k, value in zip(keys, key):
-            out[k] = value
-        return out[[f.name for f in schema]]
-
-    out = keyed.groupBy(*keys).applyInPandas(run, schema)
-    return out if group else out.drop("__g")
-
-
 def round_robin(ranks: DataFrame, *, group: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
     """Experts take turns (in expert order) to place their best item left.
 
@@ -281,34 +264,65 @@ def kemeny_pass(start: DataFrame, ranks: DataFrame, *, group: Sequence[str] = ()
     """One local pass: walk the items in rank order and swap the ranks of
     neighbours when that lowers the summed Kendall distance to the experts.
 
-    Each step depends on the swaps before it, so the walk is sequential within
-    one ranking problem; problems (``group``) run in parallel.
+    A run of swaps carries one low rank forward; where no swap happens the
+    walk starts afresh.  So the run that would begin at every item is followed
+    for all items at once (one more item per round), and the runs the walk
+    really takes are found by jumping from run end to run end.
+    ``start`` ranks the items 1..n.
     """
-    both = ranks.join(start.select(*group, "item", F.col("rank").alias("start")), [*group, "item"])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=["start", "item"], columns="expert", values="rank").sort_index()
-        items = wide.index.get_level_values("item")
-        votes = wide.to_numpy()
-        sigma = wide.index.get_level_values("start").to_numpy().copy()
-        for i in range(len(sigma) - 1):
-            low, high = sorted((sigma[i], sigma[i + 1]))
-            near = np.flatnonzero((sigma >= low) & (sigma <= high))
-
-            def discord(s: np.ndarray) -> int:
-                a = np.sign(s[near][:, None] - s[[i, i + 1]][None, :])
-                b = np.sign(votes[near][:, None, :] - votes[[i, i + 1]][None, :, :])
-                own = np.sign(s[i] - s[i + 1]) * np.sign(votes[i] - votes[i + 1])
-                # the pair itself is seen twice above
-                return int((a[:, :, None] * b < 0).sum() - (own < 0).sum())
-
-            swapped = sigma.copy()
-            swapped[i], swapped[i + 1] = sigma[i + 1], sigma[i]
-            if discord(swapped) < discord(sigma):
-                sigma = swapped
-        return pd.DataFrame({"item": items, "rank": sigma.astype("int64")})
-
-    return _per_group(both, group, walk, [ranks.schema["item"], T.StructField("rank", T.LongType())])
+    group = list(group)
+    votes = settle(
+        ranks.join(start.select(*group, "item", (F.col("rank") - 1).alias("at")), [*group, "item"])
+        .select(*group, "at", "item", "expert", F.col("rank").alias("vote"))
+    )
+    nxt = votes.select(*group, (F.col("at") - 1).alias("end"), "expert", F.col("vote").alias("next"))
+    # "carried" holds the low rank now; "passed" lie between it and the next item
+    state = votes.select(
+        *group, F.col("at").alias("first"), "expert", F.col("at").alias("end"), F.col("vote").alias("carried"),
+        F.array().cast("array<bigint>").alias("passed"),
+    )
+    finished: DataFrame | None = None
+    while True:
+        step = state.join(nxt, [*group, "end", "expert"])
+        gain = F.signum(F.col("next") - F.col("carried")) + F.aggregate(
+            "passed", F.lit(0.0),
+            lambda a, s: a + F.signum(s - F.col("carried")) + F.signum(F.col("next") - s),
+        )
+        swaps = step.groupBy(*group, "first").agg(F.sum(gain).alias("change")).where("change < 0")
+        alive = settle(
+            step.join(swaps.select(*group, "first"), [*group, "first"], "left_semi").select(
+                *group, "first", "expert", (F.col("end") + 1).alias("end"), F.col("next").alias("carried"),
+                F.concat("passed", F.array("carried")).alias("passed"),
+            )
+        )
+        ended = settle(
+            state.select(*group, "first", "end").distinct().join(
+                alive.select(*group, "first").distinct(), [*group, "first"], "left_anti"
+            )
+        )
+        finished = ended if finished is None else finished.unionByName(ended)
+        if alive.limit(1).count() == 0:
+            break
+        state = alive
+    runs = settle(finished)
+    # runs reached from item 0: each round doubles the length of the jumps
+    jump = runs.select(*group, "first", (F.col("end") + 1).alias("to"))
+    reached = settle(runs.where("first = 0").select(*group, "first"))
+    size = reached.count()
+    while True:
+        more = reached.join(jump, [*group, "first"]).select(*group, F.col("to").alias("first"))
+        reached = settle(reached.unionByName(more).distinct())
+        if reached.count() == size:
+            break
+        size = reached.count()
+        onward = jump.select(*group, F.col("first").alias("to"), F.col("to").alias("__to"))
+        jump = settle(jump.join(onward, [*group, "to"]).select(*group, "first", F.col("__to").alias("to")))
+    taken = runs.join(reached, [*group, "first"], "left_semi")
+    placed = taken.withColumn("at", F.explode(F.sequence("first", "end"))).select(
+        *group, "at", F.when(F.col("at") == F.col("end"), F.col("first") + 1).otherwise(F.col("at") + 2).alias("rank")
+    )
+    items = start.select(*group, "item", (F.col("rank") - 1).alias("at"))
+    return items.join(placed, [*group, "at"]).select(*group, "item", "rank")
 
 
 def footrule_distance(ranks: DataFrame, target: DataFrame, *, group: Sequence[str] = ()) -> DataFrame:
