@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindscape.functions.hashing import HASH_BITS, stable_hash
-from bindscape.functions.session import settle
+from bindscape.functions.session import broadcast_if_small, settle
 
 BUCKET = "__bucket"
 POSITION_BUCKET = 1 << 16
@@ -120,7 +120,7 @@ def with_value_bucket(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
     ).cast("bigint")
     if by:
         splits = picked.groupBy(*by).agg(agg.alias("__splits"))
-        out = df.join(splits, by, "left")
+        out = df.join(broadcast_if_small(splits), by, "left")
     else:
         out = df.withColumn("__splits", picked.agg(agg.alias("__splits")).scalar())
     return out.withColumn(
@@ -189,7 +189,7 @@ def exact_quantiles(
     cum = running_by_value(flat, by, value, sums={"__hi": "__n"})
     cum = cum.withColumn("__lo", F.col("__hi") - F.col("__n"))
     if by:
-        cum = cum.join(flat.groupBy(*by).agg(F.sum("__n").alias("__total")), by)
+        cum = cum.join(broadcast_if_small(flat.groupBy(*by).agg(F.sum("__n").alias("__total"))), by)
     else:
         cum = cum.withColumn("__total", flat.agg(F.sum("__n")).scalar())
     if probabilities is not None:
@@ -258,10 +258,11 @@ def hash_index(
 
     The hash is uniform, so its high bits are balanced buckets by themselves.
     """
-    hashed = df.withColumn("__h", stable_hash(seed, *by, *key)).withColumn("__one", F.lit(1).cast("bigint"))
     bucket = None
     if largest_group(df, by) > ONE_TASK_ROWS:
         bucket = F.shiftright("__h", HASH_BITS - bucket_bits)
+        df = settle(df)
+    hashed = df.withColumn("__h", stable_hash(seed, *by, *key)).withColumn("__one", F.lit(1).cast("bigint"))
     out = bucketed_prefix(hashed, by, ["__h", *key], bucket, sums={name: "__one"})
     return out.withColumn(name, F.col(name) - 1).drop("__h", "__one")
 
@@ -279,7 +280,8 @@ def value_index(
     order = [*_ordered([value], descending), *_ordered(tie, False)]
     if largest_group(df, by) <= ONE_TASK_ROWS:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
-    base = with_value_bucket(df, by, value)
+    # several branches read the rows from here on, so what made them runs once
+    base = with_value_bucket(settle(df), by, value)
     keys = list(by) + [BUCKET]
     totals = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__t"))
     before = Window.partitionBy(*by).orderBy(*_ordered([BUCKET], descending)).rowsBetween(

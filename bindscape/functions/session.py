@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Settle a dimension table; mark it for broadcast when its count allows.
+
+    Keys such as sample or chromosome are few and hot: joining them by shuffle
+    would send all rows of one key to one task.
+    """
+    table = settle(dim)
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/bindscape/{spark.sparkContext.applicationId}"
 

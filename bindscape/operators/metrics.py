@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bindscape.functions.prefix import cumulative_by_value, hash_index
 from bindscape.functions.scalars import clip, sigmoid
+from bindscape.functions.session import broadcast_if_small
 
 AUPRC_CLIP = 1e-6
 
@@ -24,7 +25,7 @@ def score_curve(df: DataFrame, *, score: str = "score", y: str = "y", by: Sequen
     run = cumulative_by_value(flat, by, score, {"tp": "pos", "seen": "n"}, descending=True)
     totals = run.groupBy(*by).agg(F.sum("pos").alias("total_pos"), F.sum("n").alias("total"))
     if by:
-        return run.join(totals, by)
+        return run.join(broadcast_if_small(totals), by)
     return run.withColumn("total_pos", totals.select("total_pos").scalar()).withColumn(
         "total", totals.select("total").scalar()
     )

@@ -244,7 +244,7 @@ def train_boosted(
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     start = F.col(init_margin).cast("double") if init_margin else F.lit(0.0)
     rows = settle(
-        spread(df).select(
+        spread(df, features).select(
             array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("x"),
             F.col(y).cast("double").alias("y"), w.alias("w"), F.col(set_name).alias("set_name"), start.alias("margin"),
         )
@@ -259,10 +259,12 @@ def train_boosted(
         g, h = objective(F.col("margin"), F.col("y"))
         h = F.greatest(h, F.lit(1e-16))
         fit_rows = rows.where("set_name = 'train' AND w > 0").select("x", (-g / h).alias("t"), (F.col("w") * h).alias("tw"))
+        fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
         tree = DecisionTreeRegressor(
             featuresCol="x", labelCol="t", weightCol="tw", predictionCol="p", maxDepth=depth, maxBins=max_bins,
             minInstancesPerNode=min_rows, seed=seed,
         ).fit(fit_rows)
+        fit_rows.unpersist()
         booster.trees.append(_read_tree(tree))
         moved = tree.transform(rows).withColumn("margin", F.col("margin") + learning_rate * F.col("p")).drop("p")
         if r % settle_every == 0:

@@ -18,7 +18,7 @@ from bindscape.functions.prefix import (
     value_index,
 )
 from bindscape.functions.hashing import HASH_BITS, stable_hash
-from bindscape.functions.session import rows_if_small, settle
+from bindscape.functions.session import broadcast_if_small, rows_if_small, settle
 from bindscape.operators.signal import profile_from_centre
 
 LOCAL_TABLE_ROWS = 2_000_000
@@ -42,7 +42,7 @@ def fit_quantiles(
     if subsample is not None:
         sizes = long.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
         share = stable_hash(seed, *by, *key) / F.lit(float(1 << HASH_BITS))
-        long = long.join(sizes, list(by)).where(share * F.col("__size") < subsample)
+        long = long.join(broadcast_if_small(sizes), list(by)).where(share * F.col("__size") < subsample)
     return exact_quantiles(long, by, value, n_quantiles=n_quantiles)
 
 
@@ -126,7 +126,7 @@ def _interpolate_ordered(
     )
     right_i, right_v = -F.col("neg_right_i"), -F.col("neg_right_v")
     frac = (F.col("__v") - F.col("left_v")) / (right_v - F.col("left_v"))
-    table = both.join(top, by).select(
+    table = both.join(broadcast_if_small(top), by).select(
         *by,
         F.col("__v").alias("__value"),
         "n",
@@ -272,8 +272,7 @@ def knn_blend(
     mean(1 - r).  Zeros of the raw signal stay 0; undefined results fall back
     to raw.
     """
-    # settled: one row per segment, broadcast by the planner when small
-    weights = settle(blend_weights(df, normed, panel, n_panel, q, r_min, by))
+    weights = broadcast_if_small(blend_weights(df, normed, panel, n_panel, q, r_min, by))
     mixed = F.aggregate(
         F.zip_with(panel, "__w", lambda v, w: v * w), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))
     )
@@ -372,7 +371,7 @@ def chimera(
         F.max_by("sample_id", F.struct("__r", (-F.col("sample_id")).alias("t"))).alias("sample_id"),
         F.max("__r").alias("r"),
     )
-    chosen = keyed.join(best, ["segment", "sample_id"])
+    chosen = keyed.join(broadcast_if_small(best), ["segment", "sample_id"])
     return chosen.join(labels, ["sample_id", "chrom", "start"]).select(
         "chrom", "start", "segment", "sample_id", "r",
         F.transform("features", lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("features"),

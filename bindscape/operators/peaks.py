@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindscape.functions.prefix import cumulative_by_value, exact_quantiles, join_values, running_by_value
-from bindscape.functions.session import settle
+from bindscape.functions.session import broadcast_if_small, settle
 from bindscape.functions.scalars import (
     neg_log10,
     poisson_tail_table,
@@ -63,8 +63,7 @@ def poisson_neglog10p(
             )
             .select(*by, "mode", poisson_tail_table(F.col("mu"), P_FLOOR).alias("__tail"))
         )
-        # settled, so the planner broadcasts it exactly when it is small
-        out = df.join(settle(stats), by)
+        out = df.join(broadcast_if_small(stats), by)
         out = out.withColumn("__k", F.floor(_excess(value, F.col("mode"))).cast("int")).drop("mode")
     p = F.coalesce(F.get("__tail", F.col("__k")), F.lit(P_FLOOR))
     return out.withColumn(name, neg_log10(p, P_FLOOR)).drop("__k", "__tail")
@@ -109,7 +108,7 @@ def bh_adjust(
     flat = settle(df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("__n")))
     table = running_by_value(flat, by, p, sums={"__rank": "__n"})
     if by:
-        table = table.join(flat.groupBy(*by).agg(F.sum("__n").alias("__total")), by)
+        table = table.join(broadcast_if_small(flat.groupBy(*by).agg(F.sum("__n").alias("__total"))), by)
     else:
         table = table.withColumn("__total", F.lit(flat.agg(F.sum("__n")).first()[0]))
     # running minimum over larger p = running maximum of the negated value

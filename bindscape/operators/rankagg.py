@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindscape.functions.prefix import running_by_value, value_index
-from bindscape.functions.session import settle
+from bindscape.functions.session import broadcast_if_small, settle
 
 
 def to_ranks(scores: DataFrame, *, group: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -31,7 +31,7 @@ def _sizes(ranks: DataFrame, group: Sequence[str]) -> DataFrame:
 def _attach(df: DataFrame, small: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Add per-group constants: a join on the group, or one row's values."""
     if group:
-        return df.join(small.select(*group, *names), list(group))
+        return df.join(broadcast_if_small(small.select(*group, *names)), list(group))
     row = small.select(*names).first()
     return df.withColumns({n: F.lit(row[n]) for n in names})
 
@@ -89,7 +89,7 @@ def partial_borda(ranks: DataFrame, *, stat: str = "mean", group: Sequence[str]
         )
         return _rank_items(scored, group, descending=False)
     shape = (lambda c: c) if stat == "mean" else F.log
-    last = settle(ranks.groupBy(*group, "expert").agg((F.max("rank") + 1).alias("__sup")))
+    last = broadcast_if_small(ranks.groupBy(*group, "expert").agg((F.max("rank") + 1).alias("__sup")))
     totals = last.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_experts"), F.sum(shape(F.col("__sup")).cast("double")).alias("all_sup")
     )
@@ -106,7 +106,7 @@ def partial_borda(ranks: DataFrame, *, stat: str = "mean", group: Sequence[str]
 def modified_borda(ranks: DataFrame, *, group: Sequence[str] = ()) -> DataFrame:
     """Sum of (m + 1 - r) over the experts that ranked the item, m = list length."""
     lengths = ranks.groupBy(*group, "expert").agg(F.count(F.lit(1)).alias("m"))
-    scored = ranks.join(lengths, [*group, "expert"]).groupBy(*group, "item").agg(
+    scored = ranks.join(broadcast_if_small(lengths), [*group, "expert"]).groupBy(*group, "item").agg(
         F.sum(F.col("m") + 1 - F.col("rank")).alias("score")
     )
     return _rank_items(scored, group)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from bindscape.functions.hashing import hash_below, stable_hash
 from bindscape.functions.prefix import hash_index
 from bindscape.functions.scalars import cell_name
-from bindscape.functions.session import settle
+from bindscape.functions.session import broadcast_if_small, settle
 from bindscape.operators.peaks import best_row_per  # noqa: F401  (public here as well)
 
 
@@ -17,7 +17,7 @@ def match_cell_type(meta: DataFrame, cells: DataFrame, *, min_quality: float | N
     """Samples whose line (or line_type_tissue when the line is NONE) is one of
     the wanted cell types, ignoring case.  ``cells``: ``role, cell``."""
     kept = meta if min_quality is None else meta.where(F.col("quality") > min_quality)
-    wanted = cells.select("role", F.upper("cell").alias("__cell"))
+    wanted = broadcast_if_small(cells.select("role", F.upper("cell").alias("__cell")))
     return kept.withColumn("__cell", cell_name(F.col("line"), F.col("kind"), F.col("tissue"))).join(
         wanted, "__cell"
     ).drop("__cell")
@@ -59,12 +59,12 @@ def match_factor_key(meta: DataFrame, key: str) -> DataFrame:
 def annotate_clusters(samples: DataFrame, cluster_map: DataFrame) -> DataFrame:
     """Left join of the distinct annotations of included clusters."""
     notes = cluster_map.where(F.col("included") == "Y").select("cluster", "annotation").distinct()
-    return samples.join(notes, "cluster", "left")
+    return samples.join(broadcast_if_small(notes), "cluster", "left")
 
 
 def reliable_pairs(targets: DataFrame, reliable: DataFrame, test_cell: str) -> DataFrame:
     """Train cells known to work for each target factor, with the test cell."""
-    return reliable.join(targets.select("factor").distinct(), "factor").select(
+    return reliable.join(broadcast_if_small(targets.select("factor").distinct()), "factor").select(
         "factor", "train_cell", F.upper(F.lit(test_cell)).alias("test_cell")
     )
 
@@ -76,7 +76,8 @@ def training_jobs(pairs: DataFrame, chrom_sets: Sequence[str] = ("chrom_setA", "
 
 def in_chrom_set(df: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Rows on the chromosomes of a named set (``sets``: ``set_name, chrom``)."""
-    return df.join(sets.where(F.col("set_name") == name).select("chrom").distinct(), "chrom", "left_semi")
+    chroms = broadcast_if_small(sets.where(F.col("set_name") == name).select("chrom").distinct())
+    return df.join(chroms, "chrom", "left_semi")
 
 
 def sample_rows(df: DataFrame, n: int, *, seed: int = 2019, key: Sequence[str], replace: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from bindscape.functions.prefix import bucketed_prefix, position_bucket, value_index
-from bindscape.functions.session import rows_if_small, settle, spread
+from bindscape.functions.session import broadcast_if_small, rows_if_small, settle, spread
 from bindscape.operators.signal import offset_features
 
 MAX_PWM_ROWS = 1_000_000  # total matrix rows shipped to tasks
@@ -211,7 +211,7 @@ def motif_features(
     top_scores: DataFrame, motifs: DataFrame, *, offsets: Sequence[int] = (-7, -5, -3, -1, 0, 1, 3, 5, 7), step: int = 50, block: int = 4096
 ) -> DataFrame:
     """Feature array per bin: offset-major, then motif name, then top rank."""
-    kept = top_scores.join(motifs.select("motif").distinct(), "motif", "left_semi")
+    kept = top_scores.join(broadcast_if_small(motifs.select("motif").distinct()), "motif", "left_semi")
     wide = kept.groupBy("chrom", "start").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("motif", "top"))), lambda m: m["top"])).alias("features")
     )

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindscape.functions.scalars import zero_if_missing
+from bindscape.functions.session import broadcast_if_small
 
 C = ("chrom", "start")
 DROP_FLAGS = 1804  # unmapped, mate unmapped, secondary, failed quality, duplicate
@@ -67,7 +68,7 @@ def cut_profile(
     high = F.floor((F.col("cell") + WINDOW_BEFORE) / step).cast("bigint")
     reach = (
         cut_cells(cuts, by)
-        .join(sizes.select("chrom", "length"), "chrom")
+        .join(broadcast_if_small(sizes.select("chrom", "length")), "chrom")
         .withColumn("__hi", F.least(high, F.floor((F.col("length") - width - 1) / step).cast("bigint")))
         .withColumn("__lo", low)
         .where("__lo <= __hi")
@@ -109,12 +110,12 @@ def _each(n: int, agg, features: str = "features") -> Column:
 
 def stack_signal(tensor: DataFrame, samples: DataFrame) -> DataFrame:
     """Tensor rows of the listed samples."""
-    return tensor.join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
+    return tensor.join(broadcast_if_small(samples.select("sample_id").distinct()), "sample_id", "left_semi")
 
 
 def mean_signal(tensor: DataFrame, roles: DataFrame, n_features: int) -> DataFrame:
     """Mean over the samples of each role, per bin and feature."""
-    return tensor.join(roles, "sample_id").groupBy("role", *C).agg(_each(n_features, F.avg).alias("features"))
+    return tensor.join(broadcast_if_small(roles), "sample_id").groupBy("role", *C).agg(_each(n_features, F.avg).alias("features"))
 
 
 def slice_roles(samples: DataFrame, first: int, then: int) -> DataFrame:
@@ -128,7 +129,8 @@ def slice_roles(samples: DataFrame, first: int, then: int) -> DataFrame:
 
 def sum_signal(tensor: DataFrame, cluster_map: DataFrame, n_features: int) -> DataFrame:
     """Sum of the samples of each cluster; samples without data are absent."""
-    return tensor.join(cluster_map.select("sample_id", "cluster"), "sample_id").groupBy("cluster", *C).agg(
+    clusters = broadcast_if_small(cluster_map.select("sample_id", "cluster"))
+    return tensor.join(clusters, "sample_id").groupBy("cluster", *C).agg(
         _each(n_features, F.sum).alias("features")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bindscape.functions.prefix import running_by_value
 from bindscape.functions.scalars import normal_upper_tail
-from bindscape.functions.session import settle
+from bindscape.functions.session import broadcast_if_small, settle
 from bindscape.operators.normalize import gram_matrix
 from bindscape.operators.peaks import bh_adjust
 
@@ -25,7 +25,7 @@ def fdr_flags(long: DataFrame, *, column: str = "feature_idx", value: str = "val
     """Per column: z-score, normal upper tail, BH at ``alpha``."""
     stats = long.groupBy(column).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
     z = (F.col(value) - F.col("__m")) / F.col("__s")
-    scored = long.join(settle(stats), column).withColumn("__z", F.round(z, 9))
+    scored = long.join(broadcast_if_small(stats), column).withColumn("__z", F.round(z, 9))
     scored = scored.withColumn(
         "__p", F.when(F.col("__s") == 0, F.lit(1.0)).otherwise(normal_upper_tail(F.col("__z")))
     ).drop("__m", "__s", "__z")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bindscape.functions.hashing import hash_below
-from bindscape.functions.session import settle
+from bindscape.functions.session import settle, spread
 from bindscape.operators import clusters as cl, model as md, samples as sm, stats as st
 from bindscape.plans import views as v
 from bindscape.plans.registry import query
@@ -19,7 +19,8 @@ FAST = dict(rounds=3, depth=4, learning_rate=0.3)
 
 def rows(spark, sf):
     """Lineitem as labelled feature rows: price and date features, returnflag labels."""
-    li = v.table(spark, sf, "lineitem")
+    # training passes over these rows many times: spread a single input file first
+    li = spread(v.table(spark, sf, "lineitem"), *KEY)
     feats = F.array(
         F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100,
         F.year("l_shipdate").cast("double"), F.month("l_shipdate").cast("double"),
