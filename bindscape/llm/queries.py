@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from bindscape.llm.bpe import token_digests
+from bindscape.llm.impact_search import exact_top_k
+from bindscape.llm.mixing import mix_counts
 from bindscape.llm.ngram_join import ngram_jaccard_components
+from bindscape.llm.sorted_projection import near_duplicate_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,11 +34,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(words) - 1), i -> array_to_string(words[i:i + 2], ' '))) END AS set
+         ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS set
   FROM w
 ), g AS (
   SELECT doc_id, len(set) AS n, unnest(set) AS g FROM s
@@ -53,3 +58,50 @@ FROM s JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c
 """)
 def op1_ngram_jaccard_join(spark, sf):
     return ngram_jaccard_components(table(spark, sf, "documents"))
+
+
+@query()
+def op2_byte_bpe(spark, sf):
+    return token_digests(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op4_mix_to_weights(spark, sf):
+    return mix_counts(table(spark, sf, "documents"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+""")
+def op5_exact_top_k(spark, sf):
+    return exact_top_k(table(spark, sf, "embeddings"))
+
+
+@query("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), r(vec_id, seen) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.seen = e.a
+), c AS (
+  SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id
+), n AS (
+  SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+""")
+def op10_sorted_projection(spark, sf):
+    return near_duplicate_vectors(table(spark, sf, "embeddings"))
