@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bindscape.llm import chat_format, html_content, language_id, maxent_lm, secret_crf
 from bindscape.llm.bpe import token_digests
 from bindscape.llm.impact_search import exact_top_k
 from bindscape.llm.mixing import mix_counts
@@ -66,6 +68,13 @@ def op2_byte_bpe(spark, sf):
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query()
+def op3_maxent_lm(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = language_id.is_held_out("doc_id", 7, 2)
+    return maxent_lm.score(docs, maxent_lm.fit(docs.where(~out).select("text")), held_out=out)
+
+
 @query()
 def op4_mix_to_weights(spark, sf):
     return mix_counts(table(spark, sf, "documents"))
@@ -87,6 +96,35 @@ def op5_exact_top_k(spark, sf):
     return exact_top_k(table(spark, sf, "embeddings"))
 
 
+@query()
+def op6_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = language_id.is_held_out("doc_id", 3, 1)
+    labelled = docs.where(~out & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    found = language_id.identify(docs, language_id.fit(labelled))
+    return found.select("doc_id", language_id.is_held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_chat_format(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.conversation_digests(chat_format.format_conversations(rows.unionByName(probe)))
+
+
+@query()
+def op8_html_content(spark, sf):
+    pages = table(spark, sf, "pages")
+    return html_content.extract(pages, html_content.fit(pages))
+
+
+@query()
+def op9_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents")
+    return secret_crf.scan(docs, secret_crf.fit(docs))
+
+
 @query("""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
@@ -105,3 +143,8 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 """)
 def op10_sorted_projection(spark, sf):
     return near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
