@@ -14,6 +14,7 @@ sees the same buckets.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,12 +28,22 @@ BROADCAST_ROWS = 100_000
 SPLIT_PIECES = 128  # value buckets of a large group
 SPLIT_ONE_IN = 1024  # one key in this many steers the splitters
 SPLIT_MIN_PICKED = 1024
+SPLIT_LEAST = 8  # range partitions of a large table, at least
 
 
 def _ordered(order: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, a null key matching a null key; keys come from ``left``."""
+    if not keys:
+        return left.join(right, how=how)
+    renamed = right.withColumnsRenamed({k: f"__on_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__on_{k}" for k in keys])
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Row count of the largest ``by`` group."""
     if not by:
@@ -84,7 +95,7 @@ def bucketed_prefix(
         *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__c_{o}") for o in sums],
         *[F.max(f"__t_{o}").over(before).alias(f"__c_{o}") for o in maxes],
     )
-    joined = local.join(carry, keys, "left")
+    joined = join_null_safe(local, carry, keys, "left")
     for out in sums:
         joined = joined.withColumn(out, F.col(out) + F.col(f"__c_{out}"))
     for out in maxes:
@@ -120,7 +131,7 @@ def with_value_bucket(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
     ).cast("bigint")
     if by:
         splits = picked.groupBy(*by).agg(agg.alias("__splits"))
-        out = df.join(broadcast_if_small(splits), by, "left")
+        out = join_null_safe(df, broadcast_if_small(splits), by, "left")
     else:
         out = df.withColumn("__splits", picked.agg(agg.alias("__splits")).scalar())
     return out.withColumn(
@@ -189,7 +200,7 @@ def exact_quantiles(
     cum = running_by_value(flat, by, value, sums={"__hi": "__n"})
     cum = cum.withColumn("__lo", F.col("__hi") - F.col("__n"))
     if by:
-        cum = cum.join(broadcast_if_small(flat.groupBy(*by).agg(F.sum("__n").alias("__total"))), by)
+        cum = join_null_safe(cum, broadcast_if_small(flat.groupBy(*by).agg(F.sum("__n").alias("__total"))), by)
     else:
         cum = cum.withColumn("__total", flat.agg(F.sum("__n")).scalar())
     if probabilities is not None:
@@ -280,19 +291,20 @@ def value_index(
     order = [*_ordered([value], descending), *_ordered(tie, False)]
     if largest_group(df, by) <= ONE_TASK_ROWS:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
-    # several branches read the rows from here on, so what made them runs once
-    base = with_value_bucket(settle(df), by, value)
-    keys = list(by) + [BUCKET]
-    totals = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__t"))
-    before = Window.partitionBy(*by).orderBy(*_ordered([BUCKET], descending)).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = totals.select(*keys, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__c"))
-    local = base.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # range partitions on the whole order split groups and ties alike
+    base = settle(df)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-base.count() // max(ONE_TASK_ROWS, 50)), SPLIT_LEAST)
+    keys = [F.col(c).asc() for c in by]
+    ranged = base.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = settle(ranged.withColumn("__place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__place", 33))
+    runs = placed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__t"), F.min("__place").alias("__low"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = runs.select(*by, "__part", "__low", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__c"))
     return (
-        local.join(carry, keys, "left")
-        .withColumn(name, (F.col(name) + F.col("__c")).cast("bigint"))
-        .drop("__c", BUCKET)
+        join_null_safe(placed, broadcast_if_small(carry), [*by, "__part"])
+        .withColumn(name, (F.col("__place") - F.col("__low") + F.col("__c") + 1).cast("bigint"))
+        .drop("__place", "__part", "__low", "__c")
     )
 
 
@@ -317,19 +329,20 @@ def join_values(
     keys = list(keys)
     table = settle(table.select(*keys, weight, *columns))
     if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table.drop(weight)), keys, "left")
+        return join_null_safe(rows, F.broadcast(table.drop(weight)), keys, "left")
     total = table.agg(F.sum(weight)).first()[0]
     marked = table.withColumn("__hot", F.col(weight) >= F.lit(total * share))
     hot = marked.where("__hot").select(
         *keys, *[F.col(c).alias(f"__h_{c}") for c in columns], F.lit(True).alias("__is_hot")
     )
     cold = marked.where("NOT __hot").select(*keys, *columns, F.lit(0).cast("bigint").alias("__salt"))
-    probe = rows.join(F.broadcast(hot), keys, "left").withColumn("__is_hot", F.coalesce("__is_hot", F.lit(False)))
+    probe = join_null_safe(rows, F.broadcast(hot), keys, "left").withColumn("__is_hot", F.coalesce("__is_hot", F.lit(False)))
     probe = probe.withColumn(
         "__salt",
         F.when(F.col("__is_hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0).cast("bigint")),
     )
-    out = probe.join(cold, [*keys, "__salt"], "left")
+    cold = cold.withColumnsRenamed({c: f"__c_{c}" for c in columns})
+    out = join_null_safe(probe, cold, [*keys, "__salt"], "left")
     for c in columns:
-        out = out.withColumn(c, F.when(F.col("__is_hot"), F.col(f"__h_{c}")).otherwise(F.col(c)))
-    return out.drop("__salt", "__is_hot", *[f"__h_{c}" for c in columns])
+        out = out.withColumn(c, F.when(F.col("__is_hot"), F.col(f"__h_{c}")).otherwise(F.col(f"__c_{c}")))
+    return out.drop("__salt", "__is_hot", *[f"__h_{c}" for c in columns], *[f"__c_{c}" for c in columns])

@@ -81,11 +81,14 @@ def normal_upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1.0 - half)
 
 
-def regularized_gamma_upper(shape: Column, x: Column, terms: int = 400) -> Column:
-    """Q(shape, x): series below shape+1, continued fraction above."""
+def regularized_gamma_upper(shape: Column, x: Column) -> Column:
+    """Q(shape, x): series below shape+1, continued fraction above.
+
+    Both need about the square root of the shape in terms, times a constant."""
+    terms = F.ceil(100 + 20 * F.sqrt(shape)).cast("int")
     front = shape * F.log(x) - x - log_gamma(shape)
     series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
+        F.sequence(F.lit(1), terms),
         F.struct((1.0 / shape).alias("t"), (1.0 / shape).alias("s")),
         lambda a, i: F.struct(
             (a["t"] * x / (shape + i)).alias("t"), (a["s"] + a["t"] * x / (shape + i)).alias("s")
@@ -95,7 +98,7 @@ def regularized_gamma_upper(shape: Column, x: Column, terms: int = 400) -> Colum
     b0 = x + 1.0 - shape
     tiny = 1e-300
     fraction = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
+        F.sequence(F.lit(1), terms),
         F.struct(
             b0.alias("b"), F.lit(1.0 / tiny).alias("c"), (1.0 / b0).alias("d"), (1.0 / b0).alias("h")
         ),

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temp folder only if it names none."""
+    """The shared folder the session names; in local mode, where one machine does
+    all the work, a temp folder if it names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="bindscape-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

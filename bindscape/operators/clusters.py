@@ -6,6 +6,7 @@ their partitions except as per-cluster sums.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -82,27 +83,33 @@ def pick_rows(df: DataFrame, k: int, *, key: Sequence[str], seed: int = 0, featu
 def kmeans(
     df: DataFrame, centres: np.ndarray, *, metric="euclidean", delta: float = 1e-3, max_iter: int = 100, features: str = "features"
 ) -> tuple[np.ndarray, DataFrame]:
-    """Lloyd iterations until the mean distance changes by at most ``delta``.
-
-    Returns the centres and the rows with ``cluster`` and ``distance``.  Each
-    pass shuffles one partial sum per cluster and task.
+    """Lloyd iterations: assign rows to their nearest centre, move the centres to
+    the means.
+
+    Converged when, from the second pass on, the mean distance differs from that
+    of the pass before by at most the share ``delta``; the returned rows
+    (``cluster``, ``distance``) belong to the returned centres.  Without
+    convergence in ``max_iter`` passes a warning is given.  Each pass shuffles one
+    partial sum per cluster and task.
     """
     centres = np.array(centres, dtype=float)
     dim = centres.shape[1]
-    previous = 0.0
-    for step in range(1, max_iter + 1):
+    means: list[float] = []
+    while True:
         assigned = nearest_centre(df, centres, metric=metric, features=features)
         stats = assigned.groupBy("cluster").agg(
             F.count(F.lit(1)).alias("n"), F.sum("distance").alias("d"),
             F.array(*[F.avg(F.get(features, F.lit(i))) for i in range(dim)]).alias("mean"),
         ).collect()
-        mean = sum(r["d"] for r in stats) / max(sum(r["n"] for r in stats), 1)
-        if (1 - delta) * previous <= mean <= previous or step == max_iter:
-            break
-        previous = mean
+        means.append(sum(r["d"] for r in stats) / max(sum(r["n"] for r in stats), 1))
+        converged = len(means) > 1 and abs(means[-1] - means[-2]) <= delta * means[-2]
+        if converged or not stats:
+            return centres, assigned
+        if len(means) >= max_iter:
+            warnings.warn(f"k-means has not converged in {max_iter} passes", stacklevel=2)
+            return centres, assigned
         for r in stats:
             centres[r["cluster"]] = r["mean"]
-    return centres, assigned
 
 
 def kmeans_two_pass(df: DataFrame, k: int, *, key: Sequence[str], n_sample: int = 0, seed: int = 0, **kw) -> tuple[np.ndarray, DataFrame]:
@@ -157,4 +164,5 @@ def reduce_profiles(df: DataFrame, n_profiles: int, k: int, *, by: str = "segmen
             if old.join(new, by).where("old <> new").limit(1).count() == 0:
                 return moved
         state = moved
+    warnings.warn(f"the profiles have not settled in {max_iter} passes", stacklevel=2)
     return state

@@ -63,9 +63,9 @@ def auprc_trapezoid(df: DataFrame, **kw) -> DataFrame:
     return _grouped(score_curve(df, **kw), kw.get("by", ()), auprc_trapezoid_expr().alias("auprc"))
 
 
-def precision_recall_curve(df: DataFrame, *, max_points: int = 100_000, seed: int = 1, **kw) -> DataFrame:
-    """(threshold, precision, recall) rows; at most ``max_points`` per curve,
-    picked by hash when there are more (a plotting table)."""
+def precision_recall_curve(df: DataFrame, *, max_points: int | None = None, seed: int = 1, **kw) -> DataFrame:
+    """(threshold, precision, recall) rows, one per threshold; with ``max_points``
+    a plotting table of so many points per curve at most, picked by hash."""
     by, score = list(kw.get("by", ())), kw.get("score", "score")
     points = score_curve(df, **kw).select(
         *by,
@@ -73,6 +73,8 @@ def precision_recall_curve(df: DataFrame, *, max_points: int = 100_000, seed: in
         (F.col("tp") / F.col("seen")).alias("precision"),
         F.try_divide("tp", "total_pos").alias("recall"),
     )
+    if max_points is None:
+        return points
     return hash_index(points, by, ["threshold"], seed).where(F.col("idx") < max_points).drop("idx")
 
 

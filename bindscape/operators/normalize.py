@@ -13,17 +13,15 @@ from bindscape.functions.prefix import (
     position_bucket,
     bucketed_prefix,
     exact_quantiles,
+    join_null_safe,
     join_values,
     running_by_value,
     value_index,
 )
 from bindscape.functions.hashing import HASH_BITS, stable_hash
-from bindscape.functions.session import broadcast_if_small, rows_if_small, settle
+from bindscape.functions.session import broadcast_if_small, settle
 from bindscape.operators.signal import profile_from_centre
 
-LOCAL_TABLE_ROWS = 2_000_000
-
-
 def fit_quantiles(
     long: DataFrame,
     *,
@@ -36,14 +34,14 @@ def fit_quantiles(
 ) -> DataFrame:
     """Evenly spaced quantiles of each group: ``by, q_idx, n_q, quantile``.
 
-    All rows count unless ``subsample`` asks for about that many per group,
+    Null and NaN values are left out.  All other rows count unless ``subsample`` asks for about that many per group,
     chosen by the hash of ``key``.
     """
     if subsample is not None:
         sizes = long.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
         share = stable_hash(seed, *by, *key) / F.lit(float(1 << HASH_BITS))
         long = long.join(broadcast_if_small(sizes), list(by)).where(share * F.col("__size") < subsample)
-    return exact_quantiles(long, by, value, n_quantiles=n_quantiles)
+    return exact_quantiles(long.where(~F.isnan(F.col(value).cast("double"))), by, value, n_quantiles=n_quantiles)
 
 
 def apply_quantiles(
@@ -55,52 +53,21 @@ def apply_quantiles(
     name: str | None = None,
     skip_zero: bool = False,
     spread: Sequence[str] = ("chrom", "start"),
-    local_rows: int = LOCAL_TABLE_ROWS,
 ) -> DataFrame:
     """Map values to [0, 1] by the mean of the left and right interpolation.
 
     The smallest fitted value and everything below map to 0, the largest and
-    above to 1, a constant column to 0.  A quantile table counted small is
-    shipped to the tasks; a larger one is matched by position in value order.
+    above to 1, a constant column to 0; null and NaN map to null.  Distinct
+    values are matched with the quantiles by position in value order.
     """
     name = name or value
-    rows = rows_if_small(quantiles.select(*by, "q_idx", "quantile"), local_rows)
-    if rows is not None:
-        out = _interpolate_local(long, rows, by, value, "__q")
-    else:
-        out = _interpolate_ordered(long, quantiles, by, value, "__q", spread)
+    out = _interpolate_ordered(long, quantiles, by, value, "__q", spread)
     result = F.col("__q")
     if skip_zero:
         result = F.when(F.col(value) == 0, F.lit(0.0)).otherwise(result)
     return out.withColumn(name, result).drop("__q")
 
 
-def _interpolate_local(long: DataFrame, rows, by: Sequence[str], value: str, name: str) -> DataFrame:
-    tables: dict[tuple, list] = {}
-    for r in sorted(rows, key=lambda r: r["q_idx"]):
-        tables.setdefault(tuple(r[b] for b in by), []).append(float(r["quantile"]))
-    shipped = long.sparkSession.sparkContext.broadcast({k: np.array(q) for k, q in tables.items()})
-    schema = T.StructType([*long.schema.fields, T.StructField(name, T.DoubleType())])
-    keys = list(by)
-
-    def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            for key, idx in pdf.groupby(keys, sort=False).indices.items():
-                q = shipped.value.get(key if isinstance(key, tuple) else (key,))
-                if q is None:
-                    continue
-                x = pdf[value].to_numpy(dtype=float)[idx]
-                ref = np.linspace(0, 1, len(q)) if len(q) > 1 else np.zeros(1)
-                y = 0.5 * (np.interp(x, q, ref) - np.interp(-x, -q[::-1], -ref[::-1]))
-                y[x >= q[-1]] = 1.0
-                y[x <= q[0]] = 0.0
-                out[idx] = y
-            yield pdf.assign(**{name: out})
-
-    return long.mapInPandas(transform, schema)
-
-
 def _interpolate_ordered(
     long: DataFrame, quantiles: DataFrame, by: Sequence[str], value: str, name: str, spread: Sequence[str]
 ) -> DataFrame:
@@ -109,7 +76,8 @@ def _interpolate_ordered(
     points = quantiles.groupBy(*by, F.col("quantile").cast("double").alias("__v")).agg(
         F.min("q_idx").alias("lo"), F.max("q_idx").alias("hi")
     )
-    values = long.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("n"))
+    number = F.col(value).cast("double")
+    values = long.where(~F.isnan(number)).groupBy(*by, number.alias("__v")).agg(F.count(F.lit(1)).alias("n"))
     flat = settle(
         points.withColumn("n", F.lit(0).cast("bigint"))
         .unionByName(values.withColumn("lo", none).withColumn("hi", none))
@@ -126,7 +94,7 @@ def _interpolate_ordered(
     )
     right_i, right_v = -F.col("neg_right_i"), -F.col("neg_right_v")
     frac = (F.col("__v") - F.col("left_v")) / (right_v - F.col("left_v"))
-    table = both.join(broadcast_if_small(top), by).select(
+    table = join_null_safe(both, broadcast_if_small(top), by).select(
         *by,
         F.col("__v").alias("__value"),
         "n",
@@ -308,15 +276,17 @@ def nearest_reference_per_segment(df: DataFrame, *, x: str, panel: str, n_panel:
 def sqtknn(
     signal: DataFrame, panels: dict[str, tuple[str, str]], n_panel: int, *, n_reduced: int,
     centre: dict[str, tuple[int, int]] | None = None, k: int = 1, r_min: float = 0.6, pseudo: float = 1.0,
-    bin_size: int = 25, step: int = 50,
+    bin_size: int = 25, step: int = 50, keys: Sequence[str] = ("chrom",),
 ) -> DataFrame:
-    """Segment-wise quantile and nearest-profile normalisation of one sample.
+    """Segment-wise quantile and nearest-profile normalisation, for each value of
+    ``keys`` (a chromosome, or a sample's chromosome) by itself.
 
-    ``signal`` has ``chrom, start, segment, features`` and, per strand, a full
+    ``signal`` has ``keys, start, segment, features`` and, per strand, a full
     and a reduced panel array (``panels[strand]`` names both).  The central
     columns of each strand are matched to their best profile, rank-mapped to
     it, blended per segment, and the 24-column profile is rebuilt from them.
     """
+    keys = list(keys)
     centre = centre or {"forward": (12, 13), "reverse": (36, 37)}
     base = signal
     built = []
@@ -328,26 +298,26 @@ def sqtknn(
             lifted = df.withColumn("__x", F.col(raw) + pseudo).withColumn(
                 "__p", F.transform(full, lambda v: v + pseudo)
             )
-            best = best_reference(lifted, (), "__x", "__p", n_panel).first()["ref_id"]
-            ref = df.select("chrom", "start", F.get(full, F.lit(best)).alias("__ref"))
-            mapped = qt_to_reference(df, ref, value=raw, ref_value="__ref", name=normed)
+            best = broadcast_if_small(best_reference(lifted, keys, "__x", "__p", n_panel).drop("r"))
+            ref = df.join(best, keys).select(*keys, "start", F.get(full, F.col("ref_id")).alias("__ref"))
+            mapped = qt_to_reference(df, ref, by=keys, tie=["start"], value=raw, ref_value="__ref", name=normed)
             blended = knn_blend(
                 mapped, raw=raw, normed=normed, panel=reduced, n_panel=n_reduced, q=1 - k / n_reduced,
-                r_min=r_min, name=out,
+                r_min=r_min, by=[*keys, "segment"], name=out,
             )
-            cols.append(blended.select("chrom", "start", out))
-        pair = cols[0].join(cols[1], ["chrom", "start"])
+            cols.append(blended.select(*keys, "start", out))
+        pair = cols[0].join(cols[1], [*keys, "start"])
         a, b = (f"__knn{i}" for i in centre[strand])
         built.append(
-            profile_from_centre(pair, a, b, bin_size=bin_size, step=step).select(
-                "chrom", "start", F.col("profile").alias(f"__{strand}")
+            profile_from_centre(pair, a, b, keys=keys, bin_size=bin_size, step=step).select(
+                *keys, "start", F.col("profile").alias(f"__{strand}")
             )
         )
-    out = signal.select("chrom", "start")
+    out = signal.select(*keys, "start")
     for b in built:
-        out = out.join(b, ["chrom", "start"])
+        out = out.join(b, [*keys, "start"])
     whole = F.concat(*[F.col(f"__{s}") for s in panels])
-    return out.select("chrom", "start", F.transform(whole, lambda v: F.round(v, 3)).alias("features"))
+    return out.select(*keys, "start", F.transform(whole, lambda v: F.round(v, 3)).alias("features"))
 
 
 def chimera(

@@ -70,7 +70,10 @@ def poisson_neglog10p(
 
 
 def gamma_neglog10p(scores: DataFrame, *, value: str = "margin", cap: float = 16.0, name: str = "neglog10p") -> DataFrame:
-    """-log10 Gamma p with moments matched on the rows above the median."""
+    """-log10 Gamma p with moments matched on the rows above the median.
+
+    Where these rows have no variance, values above their mean get ``cap`` and
+    the others 0."""
     base = scores.select(F.col(value).cast("double").alias(value))
     base = settle(base)
     mode = F.lit(most_frequent(base, value).first()[0])
@@ -79,6 +82,9 @@ def gamma_neglog10p(scores: DataFrame, *, value: str = "margin", cap: float = 16
     fit = base.where(F.col(value) > median).agg(
         F.avg(lifted).alias("m"), F.var_pop(lifted).alias("v")
     ).first()
+    if not fit.v or not fit.m:
+        above = lifted > F.lit(fit.m if fit.m is not None else 0.0) * (1 + 1e-12)
+        return scores.withColumn(name, F.when(above, F.lit(float(cap))).otherwise(F.lit(0.0)))
     shape, scale = F.lit(fit.m * fit.m / fit.v), F.lit(fit.v / fit.m)
     # few distinct scores: evaluate the special function once per value
     table = (

@@ -42,11 +42,13 @@ def select_samples(meta: DataFrame, cells: DataFrame, catalog: DataFrame, *, min
     return top_quality(loaded_only(match_cell_type(meta, cells, min_quality=min_quality), catalog), top)
 
 
-def select_chip(meta: DataFrame, factor: str, cell: str) -> DataFrame:
-    """Binding samples of one factor in one cell type; ``weight`` is 2 for a
-    lone sample, which then supports itself twice."""
+def select_chip(meta: DataFrame, factor: str, cell: str, catalog: DataFrame | None = None) -> DataFrame:
+    """Binding samples of one factor in one cell type, those in ``catalog`` when it
+    is given; ``weight`` is 2 for a lone sample, which then supports itself twice."""
     name = cell_name(F.col("line"), F.col("kind"), F.col("tissue"))
     kept = meta.where((F.col("factor") == factor) & (name == cell.upper())).select("sample_id")
+    if catalog is not None:
+        kept = loaded_only(kept, catalog)
     n = kept.agg(F.count(F.lit(1))).scalar()
     return kept.withColumn("weight", F.when(n == 1, 2).otherwise(1))
 

@@ -210,10 +210,19 @@ def motif_top_scores(
 def motif_features(
     top_scores: DataFrame, motifs: DataFrame, *, offsets: Sequence[int] = (-7, -5, -3, -1, 0, 1, 3, 5, 7), step: int = 50, block: int = 4096
 ) -> DataFrame:
-    """Feature array per bin: offset-major, then motif name, then top rank."""
-    kept = top_scores.join(broadcast_if_small(motifs.select("motif").distinct()), "motif", "left_semi")
-    wide = kept.groupBy("chrom", "start").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("motif", "top"))), lambda m: m["top"])).alias("features")
+    """Feature array per bin: offset-major, then motif name, then top rank.
+
+    A motif without a row for a bin has zeros there, so every motif keeps its
+    columns."""
+    names = motifs.select("motif").distinct()
+    kept = settle(top_scores.join(broadcast_if_small(names), "motif", "left_semi"))
+    order = names.agg(F.array_sort(F.collect_list("motif"))).scalar()
+    width = kept.agg(F.coalesce(F.max(F.size("top")), F.lit(0))).first()[0]
+    zeros = F.array_repeat(F.lit(0.0), width)
+    wide = kept.groupBy("chrom", "start").agg(F.map_from_entries(F.collect_list(F.struct("motif", "top"))).alias("__by_motif"))
+    wide = wide.withColumn("__order", order).select(
+        "chrom", "start",
+        F.flatten(F.transform("__order", lambda m: F.coalesce(F.try_element_at("__by_motif", m), zeros.cast(kept.schema["top"].dataType)))).alias("features"),
     )
     return offset_features(wide, offsets, step=step, block=block)
 
@@ -237,8 +246,9 @@ def drop_denovo(df: DataFrame, name: str = "name") -> DataFrame:
     return df.where(~F.col(name).startswith("denovo"))
 
 
-def cluster_representatives(scan_rows: DataFrame, *, limit: int = 10) -> DataFrame:
-    """Per scan, the first named motif of each cluster, first ``limit`` clusters.
+def cluster_representatives(scan_rows: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Per scan, the first named motif of each cluster; with ``limit`` of the first
+    ``limit`` clusters only.
 
     ``scan_rows``: ``scan, row_no, is_top, name``; a cluster runs from one top
     row to the next.  The last cluster ends with the table.
@@ -247,11 +257,13 @@ def cluster_representatives(scan_rows: DataFrame, *, limit: int = 10) -> DataFra
     bucket = position_bucket(rows, ["scan"], "row_no")
     named = bucketed_prefix(rows, ["scan"], ["row_no"], bucket, sums={"cluster_no": "top"}).where("cluster_no > 0")
     first = settle(drop_denovo(named).groupBy("scan", "cluster_no").agg(F.min_by("name", "row_no").alias("name")))
+    if limit is None:
+        return first
     ranked = value_index(first, ["scan"], "cluster_no", [], name="r")
     return ranked.where(F.col("r") <= limit).select("scan", "cluster_no", "name")
 
 
-def choose_cofactors(scan_rows: DataFrame, zscores: DataFrame, *, n: int = 10, limit: int = 10) -> DataFrame:
+def choose_cofactors(scan_rows: DataFrame, zscores: DataFrame, *, n: int = 10, limit: int | None = None) -> DataFrame:
     """Motifs ranked over all scans by robust aggregation of -z; keeps rank <= n.
 
     ``zscores``: ``scan, name, zscore``; a motif a scan did not score counts 0.

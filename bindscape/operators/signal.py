@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bindscape.functions.scalars import zero_if_missing
-from bindscape.functions.session import broadcast_if_small
+from bindscape.functions.session import broadcast_if_small, spread
 
 C = ("chrom", "start")
 DROP_FLAGS = 1804  # unmapped, mate unmapped, secondary, failed quality, duplicate
@@ -18,12 +18,14 @@ REVERSE_FLAG = 16
 CELL = 25
 WINDOW_BEFORE, WINDOW = 600, 1400
 
-# fixed values: distances from the window centre at which a profile bin begins
-_VARIABLE_HALF = [0, 25, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700]
+# fixed values: where the bins of a profile begin in the window
 EDGES = {
     "50": list(range(0, WINDOW + 50, 50)),
     "100": list(range(0, WINDOW + 100, 100)),
-    "variable": sorted({700 - x for x in _VARIABLE_HALF} | {700 + x for x in _VARIABLE_HALF}),
+    "variable": [
+        0, 100, 200, 300, 400, 450, 500, 550, 600, 625, 650, 675, 700,
+        725, 750, 775, 800, 850, 900, 950, 1000, 1100, 1200, 1300, 1400,
+    ],
 }
 
 
@@ -55,12 +57,12 @@ def cut_cells(cuts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def cut_profile(
     cuts: DataFrame, sizes: DataFrame, *, edges: str = "variable", by: Sequence[str] = (), step: int = 50, width: int = 200
 ) -> DataFrame:
-    """Cut density of every bin that any cut reaches.
+    """Cut density of every bin of the grid, for every ``by`` that has cuts.
 
     Window [start-600, start+800) per strand, counts of distinct positions
     divided by the width of the profile bin; forward features first.  Bins
-    with ``start + width >= length`` do not exist.  Returns
-    ``by, chrom, start, features``.
+    with ``start + width >= length`` do not exist; bins that no cut reaches hold
+    zeros.  Returns ``by, chrom, start, features``.
     """
     marks = EDGES[edges]
     pieces = len(marks) - 1
@@ -75,6 +77,18 @@ def cut_profile(
         .select(*by, "chrom", "strand", "cell", "n", F.explode(F.sequence(F.col("__lo") * step, F.col("__hi") * step, F.lit(step).cast("bigint"))).alias("start"))
         .withColumn("offset", F.col("cell") - (F.col("start") - WINDOW_BEFORE))
     )
+    # every bin of the grid takes part with a cut count of zero
+    last = F.floor((F.col("length") - width - 1) / step).cast("bigint")
+    grid = sizes.where(F.col("length") > width)
+    for c in by:  # the few values of each key, as a list
+        grid = grid.withColumn(c, F.explode(cuts.agg(F.collect_set(c)).scalar()))
+    if len(by) > 1:
+        grid = grid.join(broadcast_if_small(cuts.select(*by).distinct()), list(by), "left_semi")
+    grid = spread(grid.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / 4096)))))
+    low_bin, high_bin = F.col("__part") * 4096, F.least(F.col("__part") * 4096 + 4095, last)
+    grid = grid.select(*by, "chrom", F.explode(F.sequence(low_bin * step, high_bin * step, F.lit(step).cast("bigint"))).alias("start"))
+    reach = reach.select(*by, "chrom", "start", "strand", "offset", "n").unionByName(grid.select(
+        *by, "chrom", "start", F.lit("forward").alias("strand"), F.lit(0).cast("bigint").alias("offset"), F.lit(0).cast("bigint").alias("n")))
     features = []
     for strand in ("forward", "reverse"):
         for a, b in zip(marks[:-1], marks[1:]):
@@ -199,6 +213,7 @@ def neighbour_blocks(df: DataFrame, keys: Sequence[str], halo: int, step: int, b
     """Rows tagged with their block of ``block`` bins, plus copies of the
     ``halo`` rows next to each border, so that a window over one block sees
     every neighbour and no window covers a whole chromosome."""
+    block = max(block, halo)
     idx = F.floor(F.col("start") / step).cast("bigint")
     home = F.floor(F.col("__idx") / block).cast("bigint")
     inside = F.col("__idx") - F.col("__home") * block
@@ -223,26 +238,31 @@ def offset_features(
 ) -> DataFrame:
     """Concatenate the feature arrays of the bins at ``offsets`` (offset-major).
 
-    Neighbours past a chromosome end repeat the end bin.  Bins must form the
-    full grid of each chromosome.
+    Neighbours are found by coordinate.  Those past the first or last bin of a
+    chromosome repeat that bin; a bin missing in between counts as zeros.
     """
     halo = max(abs(o) for o in offsets)
     w = Window.partitionBy(*keys, "__block").orderBy("__idx")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = neighbour_blocks(df, keys, halo, step, block)
+    ends = df.groupBy(*keys).agg(F.min("start").alias("__first"), F.max("start").alias("__last"))
+    out = neighbour_blocks(df.join(broadcast_if_small(ends), list(keys)), keys, halo, step, block)
+    zeros = F.transform(features, lambda x: x * 0)
     parts = []
     for o in offsets:
         if o == 0:
             parts.append(F.col(features))
-        elif o < 0:
-            parts.append(F.coalesce(F.lag(features, -o).over(w), F.first(features).over(whole)))
-        else:
-            parts.append(F.coalesce(F.lead(features, o).over(w), F.last(features).over(whole)))
+            continue
+        there = F.coalesce(F.first(features).over(w.rangeBetween(o, o)), zeros)
+        at = F.col("start") + o * step
+        parts.append(
+            F.when(at < F.col("__first"), F.first(features).over(whole))
+            .when(at > F.col("__last"), F.last(features).over(whole)).otherwise(there)
+        )
     return (
         out.withColumn("__all", F.concat(*parts))
         .where("__block = __home")
         .withColumn(features, F.col("__all"))
-        .drop("__all", "__idx", "__home", "__block")
+        .drop("__all", "__idx", "__home", "__block", "__first", "__last")
     )
 
 
@@ -251,15 +271,14 @@ def shifted(
 ) -> DataFrame:
     """Add columns holding another row's value: name -> (column, offset).
 
-    Past the chromosome ends the value is 0.
+    Rows are found by coordinate; where there is none, as past the chromosome
+    ends, the value is 0.
     """
     halo = max(abs(o) for _, o in wanted.values())
     w = Window.partitionBy(*keys, "__block").orderBy("__idx")
     out = neighbour_blocks(df, keys, halo, step, block)
     cols = {
-        name: F.col(c) if o == 0 else F.coalesce(
-            (F.lag(c, -o) if o < 0 else F.lead(c, o)).over(w), F.lit(0.0)
-        )
+        name: F.col(c) if o == 0 else F.coalesce(F.first(c).over(w.rangeBetween(o, o)), F.lit(0.0))
         for name, (c, o) in wanted.items()
     }
     return out.withColumns(cols).where("__block = __home").drop("__idx", "__home", "__block")

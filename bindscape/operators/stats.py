@@ -49,7 +49,7 @@ def rank_sum_test(df: DataFrame, *, value: str, group: str, by: Sequence[str] =
     """One-sided rank-sum test that ``group`` = 1 exceeds ``group`` = 0.
 
     -log10 p by the normal approximation with tie and continuity correction;
-    0 where the first side has fewer than ``min_rows`` rows.
+    0 where the first side has fewer than ``min_rows`` rows or all values tie.
     """
     by = list(by)
     flat = settle(
@@ -68,12 +68,13 @@ def rank_sum_test(df: DataFrame, *, value: str, group: str, by: Sequence[str] =
     n1, total = F.col("n1").cast("double"), F.col("total").cast("double")
     n0 = total - n1
     u = F.col("ranks") - n1 * (n1 + 1) / 2
-    var = n1 * n0 / 12 * ((total + 1) - F.col("ties") / (total * (total - 1)))
-    z = (u - n1 * n0 / 2 - 0.5) / F.sqrt(var)
+    var = n1 * n0 / 12 * ((total + 1) - F.try_divide(F.col("ties"), total * (total - 1)))
+    # no variance (one value only): no evidence
+    z = F.try_divide(u - n1 * n0 / 2 - 0.5, F.sqrt(var))
     p = F.greatest(normal_upper_tail(z), F.lit(1e-300))
     ok = (F.col("n1") >= min_rows) & (n0 > 0)
     return s.select(*by, F.col("n1").cast("bigint").alias("n1"), (total - n1).cast("bigint").alias("n0"),
-                    F.when(ok, -F.log10(p)).otherwise(F.lit(0.0)).alias("neglog10p"))
+                    F.when(ok & z.isNotNull(), -F.log10(p)).otherwise(F.lit(0.0)).alias("neglog10p"))
 
 
 def domain_shift(leaves: DataFrame, n_features: int, *, side: str = "side", features: str = "features") -> DataFrame:

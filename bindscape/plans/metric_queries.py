@@ -131,10 +131,10 @@ def mean_metric_per_round(spark, sf):
     return mt.metric_mean(_history(spark, sf)).withColumn("auprc", F.round("auprc", 6))
 
 
-@query(sql("SELECT round(q*1.0/n, 6) AS loss, round AS trial, set_name FROM hist ORDER BY 1, 2, 3 LIMIT 5", **_HIST))
+@query(sql("SELECT round(q*1.0/n, 6) AS loss, round AS trial, set_name FROM hist ORDER BY 1, 2, 3", **_HIST))
 def trial_leaderboard(spark, sf):
     trials = _history(spark, sf).select(F.round("auprc", 6).alias("loss"), F.col("round").alias("trial"), "set_name")
-    return mt.leaderboard(trials).limit(5)
+    return mt.leaderboard(trials)
 
 
 @query(sql("SELECT round(q*1.0/n, 6) AS loss, round AS trial, set_name FROM hist ORDER BY 1, 2, 3 LIMIT 1", **_HIST))

@@ -59,10 +59,10 @@ def quantile_transform(spark, sf):
 
 @query(sql("SELECT sample_id, chrom, start, feature_idx, round(q, 6) AS value FROM mapped", **_qsql(["feature_idx"], "tlong", 100)))
 def quantile_transform_ordered(spark, sf):
-    """Same transform by value order, the path for quantile tables too large to ship."""
+    """Same transform from a fitted table."""
     long = _long(spark, sf)
     fitted = settle(nm.fit_quantiles(long, n_quantiles=100))
-    out = nm.apply_quantiles(long, fitted, local_rows=0, spread=["sample_id", "chrom", "start"])
+    out = nm.apply_quantiles(long, fitted, spread=["sample_id", "chrom", "start"])
     return _r6(out, "value")
 
 
@@ -173,16 +173,16 @@ def segment_knn_blend(spark, sf):
 
 @query()
 def sqtknn_profile(spark, sf):
-    t = v.tensor(spark, sf).where("sample_id = 1")
+    t = v.tensor(spark, sf)
     panel = F.transform(F.slice("features", 49, NP), lambda x: x.cast("double"))
     df = t.select(
-        "chrom", "start", F.transform("features", lambda x: x.cast("double")).alias("features"),
+        "sample_id", "chrom", "start", F.transform("features", lambda x: x.cast("double")).alias("features"),
         F.concat("chrom", F.lit("_"), F.floor(F.col("start") / 350).cast("string")).alias("segment"),
         panel.alias("full"), F.slice(panel, 1, 8).alias("reduced"),
     )
     both = {"forward": ("full", "reduced"), "reverse": ("full", "reduced")}
-    out = nm.sqtknn(df, both, NP, n_reduced=8)
-    return sg.explode_features(out, ["chrom", "start"])
+    out = nm.sqtknn(df, both, NP, n_reduced=8, keys=["sample_id", "chrom"])
+    return sg.explode_features(out, ["sample_id", "chrom", "start"])
 
 
 CHIM = {

@@ -61,13 +61,13 @@ def composite_factor_match(spark, sf):
     return sm.match_factor_key(meta, key).select("sample_id", "factor")
 
 
-NOTES = "SELECT DISTINCT cluster, 'note_' || tissue AS annotation FROM sample_meta WHERE included='Y' AND tissue<>'R0' AND sample_id<500"
+NOTES = "SELECT DISTINCT cluster, 'note_' || tissue AS annotation FROM sample_meta WHERE included='Y'"
 
 
 @query(sql("SELECT s.sample_id, s.cluster, n.annotation FROM sample_meta s LEFT JOIN notes n ON s.cluster=n.cluster", notes=NOTES))
 def cluster_annotation_join(spark, sf):
     meta = v.sample_meta(spark, sf)
-    cmap = meta.where("tissue <> 'R0' AND sample_id < 500").select("cluster", "included", F.concat(F.lit("note_"), "tissue").alias("annotation"))
+    cmap = meta.select("cluster", "included", F.concat(F.lit("note_"), "tissue").alias("annotation"))
     return sm.annotate_clusters(meta.select("sample_id", "cluster"), cmap)
 
 

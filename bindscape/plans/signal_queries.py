@@ -36,11 +36,12 @@ def _profile_sql(edges):
     for strand in ("forward", "reverse"):
         for a, b in zip(marks[:-1], marks[1:]):
             cols.append(f"count(*) FILTER (strand='{strand}' AND o>={a} AND o<{b})/{float(b - a)}")
-    return sql(f"""SELECT chrom, start, list_sum(list_transform(f, lambda x, i: x*i)) AS checksum, list_sum(f) AS total, f[13] AS f12, f[{len(marks)}] AS flast FROM (
-        SELECT b.chrom, b.start, [{', '.join(cols)}] AS f FROM bins b JOIN
-        (SELECT *, unnest(range(-26, 38)) AS q FROM (SELECT *, (pos//50) AS pb, pos FROM cuts)) c
-        ON b.chrom=c.chrom AND b.start=(c.pb-c.q+10)*50 CROSS JOIN LATERAL (SELECT c.pos-(b.start-600) AS o)
-        WHERE o>=0 AND o<1400 GROUP BY b.chrom, b.start)""", **CUTS).replace("SELECT *, (pos//50) AS pb, pos FROM", "SELECT *, (pos//50) AS pb FROM")
+    return sql(f"""SELECT chrom, start, round(list_sum(list_transform(f, lambda x, i: x*i)), 6) AS checksum,
+        round(list_sum(f), 6) AS total, f[13] AS f12, f[{len(marks)}] AS flast FROM (
+        SELECT b.chrom, b.start, [{', '.join(cols)}] AS f FROM bins b LEFT JOIN
+        (SELECT chrom, strand, (pb-q+10)*50 AS start, pos-((pb-q+10)*50-600) AS o
+         FROM (SELECT *, unnest(range(-26, 38)) AS q FROM (SELECT *, (pos//50) AS pb FROM cuts))) c
+        ON b.chrom=c.chrom AND b.start=c.start AND o>=0 AND o<1400 GROUP BY b.chrom, b.start)""", **CUTS)
 
 
 def _profile(spark, sf, edges):
@@ -56,22 +57,17 @@ def _profile(spark, sf, edges):
     )
 
 
-def _rounded(text):
-    return text.replace("list_sum(list_transform(f, lambda x, i: x*i)) AS checksum, list_sum(f) AS total",
-                        "round(list_sum(list_transform(f, lambda x, i: x*i)), 6) AS checksum, round(list_sum(f), 6) AS total")
-
-
-@query(_rounded(_profile_sql("variable")))
+@query(_profile_sql("variable"))
 def cut_profile_variable(spark, sf):
     return _profile(spark, sf, "variable")
 
 
-@query(_rounded(_profile_sql("50")))
+@query(_profile_sql("50"))
 def cut_profile_50bp(spark, sf):
     return _profile(spark, sf, "50")
 
 
-@query(_rounded(_profile_sql("100")))
+@query(_profile_sql("100"))
 def cut_profile_100bp(spark, sf):
     return _profile(spark, sf, "100")
 

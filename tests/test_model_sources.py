@@ -94,14 +94,14 @@ def test_kmeans_matches_numpy(spark):
     x = np.concatenate([rng.normal(0, 1, (40, 3)), rng.normal(6, 1, (30, 3))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
     centres, out = cl.kmeans(df, x[[0, 69]])
-    c, prev = x[[0, 69]].copy(), 0.0
-    while True:
-        d = np.linalg.norm(x[:, None] - c[None], axis=2)
-        near, mean = d.argmin(1), d.min(1).mean()
-        if 0.999 * prev <= mean <= prev:
-            break
-        prev = mean
-        c = np.array([x[near == k].mean(0) for k in range(2)])
+    assign = lambda c: np.linalg.norm(x[:, None] - c[None], axis=2)
+    steps = [x[[0, 69]]]
+    for _ in range(20):
+        near = assign(steps[-1]).argmin(1)
+        steps.append(np.array([x[near == k].mean(0) for k in range(2)]))
+    cost = [assign(c).min(1).mean() for c in steps]
+    done = next(i for i in range(1, 20) if abs(cost[i] - cost[i - 1]) <= 1e-3 * cost[i - 1])
+    c, near = steps[done], assign(steps[done]).argmin(1)
     assert np.allclose(centres, c)
     assert [r.cluster for r in out.orderBy("id").collect()] == near.tolist()
     _, two = cl.kmeans_two_pass(df, 2, key=["id"])

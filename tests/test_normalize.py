@@ -15,8 +15,7 @@ def _qt(x, train, n_quantiles):
     return y
 
 
-@pytest.mark.parametrize("local_rows", [10_000, 0])
-def test_quantile_transform(spark, local_rows, both_paths):
+def test_quantile_transform(spark, both_paths):
     rng = np.random.default_rng(0)
     cols = {0: rng.normal(size=60), 1: np.round(rng.normal(size=60), 1), 2: np.full(60, 3.0)}
     rows = [("c", i, f, float(v[i])) for f, v in cols.items() for i in range(60)]
@@ -24,13 +23,21 @@ def test_quantile_transform(spark, local_rows, both_paths):
     fitted = settle(nm.fit_quantiles(df, n_quantiles=20))
     # values outside the fitted range clamp to 0 and 1
     more = df.unionByName(spark.createDataFrame([("c", 60, 0, 99.0), ("c", 61, 0, -99.0)], df.schema))
-    out = nm.apply_quantiles(more, fitted, local_rows=local_rows, name="q").collect()
+    out = nm.apply_quantiles(more, fitted, name="q").collect()
     for f, v in cols.items():
         got = [r.q for r in sorted(out, key=lambda r: r.start) if r.feature_idx == f and r.start < 60]
         assert np.allclose(got, _qt(v, v, 20)), f
     assert {r.start: r.q for r in out if r.start >= 60} == {60: 1.0, 61: 0.0}
 
 
+def test_transform_of_nan_and_null_keys(spark, both_paths):
+    nan = float("nan")
+    rows = [("c", i, None, v) for i, v in enumerate([1.0, 2.0, 3.0, nan, None])]
+    df = spark.createDataFrame(rows, "chrom string, start bigint, feature_idx int, value double")
+    out = [r.value for r in nm.fit_apply(df, by=["feature_idx"]).orderBy("start").collect()]
+    assert out == [0.0, 0.5, 1.0, None, None]
+
+
 def test_transform_keeps_zeros(spark):
     x = [0.0, 0.0, 1.0, 2.0, 4.0]
     df = spark.createDataFrame([("c", i, 0, v) for i, v in enumerate(x)], "chrom string, start bigint, feature_idx int, value double")

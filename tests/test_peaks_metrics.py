@@ -139,3 +139,26 @@ def test_rank_sum(spark):
     p = math.erfc((u - 10 - 0.5) / sd / math.sqrt(2)) / 2
     assert out.neglog10p == pytest.approx(-math.log10(p), rel=1e-5)
     assert st.rank_sum_test(df.where("g = 0 OR v = 9"), value="v", group="g").first().neglog10p == 0.0
+
+
+def test_constant_inputs_give_no_evidence(spark):
+    from bindscape.operators import peaks, samples, stats
+
+    tied = spark.createDataFrame([(i % 2, 3.0) for i in range(20)], "g int, v double")
+    assert stats.rank_sum_test(tied, value="v", group="g").first()["neglog10p"] == 0
+    flat = spark.createDataFrame([("c", i, 0.0 if i < 6 else 5.0) for i in range(10)], "chrom string, start bigint, margin double")
+    assert {r.margin: r.neglog10p for r in peaks.gamma_neglog10p(flat).collect()} == {0.0: 0.0, 5.0: 0.0}
+    meta = spark.createDataFrame([(i, "F", "L", "K", "T") for i in (1, 2)], "sample_id int, factor string, line string, kind string, tissue string")
+    loaded = spark.createDataFrame([(1,)], "sample_id int")
+    assert [(r.sample_id, r.weight) for r in samples.select_chip(meta, "F", "L", loaded).collect()] == [(1, 2)]
+
+
+def test_curves_and_cofactors_have_no_cap(spark):
+    from bindscape.operators import metrics, sequence
+
+    scores = spark.range(500).selectExpr("id / 500.0 AS score", "CAST(id % 2 AS INT) AS y")
+    assert metrics.precision_recall_curve(scores).count() == 500
+    assert metrics.precision_recall_curve(scores, max_points=50).count() == 50
+    report = spark.createDataFrame([(0, i, True, f"m{i:02d}") for i in range(25)], "scan int, row_no int, is_top boolean, name string")
+    z = report.selectExpr("scan", "name", "CAST(-row_no AS DOUBLE) AS zscore")
+    assert sequence.choose_cofactors(report, z, n=20).count() == 20

@@ -63,3 +63,21 @@ def test_join_values_keeps_every_row(spark, both_paths):
     out = px.join_values(df, table, ["v"], ["twice"], weight="n", spread=["g", "id"])
     got = out.collect()
     assert len(got) == len(rows) and all(r.twice == 2 * r.v for r in got)
+
+
+def test_null_groups_keep_their_results(spark, both_paths):
+    df = spark.createDataFrame([(None, i, float(i % 5)) for i in range(300)] + [(1, i, float(i)) for i in range(50)], "g int, id int, v double")
+    seen = px.cumulative_by_value(df.withColumn("n", F.lit(1)), ["g"], "v", {"seen": "n"}).where("g IS NULL").orderBy("v").collect()
+    assert [r.seen for r in seen] == [60, 120, 180, 240, 300]
+    ranks = px.value_index(df, ["g"], "v", ["id"]).where("g IS NULL").collect()
+    assert sorted(r["rank"] for r in ranks) == list(range(1, 301))
+    q = px.exact_quantiles(df, ["g"], "v", [0.5]).where("g IS NULL").collect()
+    assert [r.quantile for r in q] == [2.0]
+
+
+def test_tied_rows_are_split(spark, split_everything):
+    df = spark.range(2000).select("id", F.when(F.col("id") < 1800, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
+    out = px.value_index(df, (), "v", ["id"])
+    assert sorted(r["rank"] for r in out.collect()) == list(range(1, 2001))
+    wide = df.repartitionByRange(40, "v", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert wide < 400

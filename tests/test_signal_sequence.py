@@ -123,3 +123,30 @@ def test_encode(spark):
 def test_motif_feature_names(spark):
     names = sq.motif_feature_names(spark.createDataFrame([("x",), ("y",)], "motif string")).orderBy("feature_idx").collect()
     assert len(names) == 9 * 2 * 4 and names[0].feature_name == "x_offset_-7_top_0" and names[4].feature_name == "y_offset_-7_top_0"
+
+
+def test_profile_mean_counts_absent_cuts(spark):
+    """Two samples with one cut each: bins without cuts are zeros in the mean."""
+    cuts = spark.createDataFrame([(0, "c", 700, "forward"), (1, "c", 3000, "forward")], "sample_id int, chrom string, pos bigint, strand string")
+    sizes = spark.createDataFrame([("c", 6000)], "chrom string, length bigint")
+    t = sg.cut_profile(cuts, sizes, by=["sample_id"])
+    assert t.groupBy("sample_id").count().select("count").distinct().collect() == [(116,)]
+    roles = spark.createDataFrame([(0, "train"), (1, "train")], "sample_id int, role string")
+    mean = sg.mean_signal(t, roles, 48)
+    assert mean.agg(F.max(F.array_max("features"))).first()[0] == 0.02
+
+
+def test_neighbours_by_coordinate(spark):
+    df = spark.createDataFrame([("c", s, [float(s)]) for s in (0, 50, 300, 350)], "chrom string, start bigint, features array<double>")
+    got = {r.start: r.features for r in sg.offset_features(df, (-1, 0, 1), block=2).collect()}
+    assert got == {0: [0, 0, 50], 50: [0, 50, 0], 300: [0, 300, 350], 350: [300, 350, 350]}
+    one = df.select("chrom", "start", F.element_at("features", 1).alias("x"))
+    got = {r.start: r.y for r in sg.shifted(one, {"y": ("x", 1)}, block=2).collect()}
+    assert got == {0: 50, 50: 0, 300: 350, 350: 0}
+
+
+def test_motif_without_rows_keeps_its_columns(spark):
+    top = spark.createDataFrame([("c", 0, "a", [1.0]), ("c", 0, "b", [2.0]), ("c", 50, "b", [3.0])], "chrom string, start bigint, motif string, top array<double>")
+    motifs = spark.createDataFrame([("a",), ("b",)], "motif string")
+    got = {r.start: r.features for r in sq.motif_features(top, motifs, offsets=(0,)).collect()}
+    assert got == {0: [1.0, 2.0], 50: [0.0, 3.0]}
