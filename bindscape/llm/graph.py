@@ -25,7 +25,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     while not e.isEmpty():
         near = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
         step = near.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("to")))
-        step = settle(step.groupBy("node").agg(F.min("to").alias("to")))
+        step = step.groupBy("node").agg(F.min("to").alias("to"))
         # a second hop along the moves halves the chains
         hop = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
         step = settle(step.join(hop, "to", "left").select("node", F.coalesce("further", "to").alias("to")))

@@ -75,7 +75,59 @@ def op3_maxent_lm(spark, sf):
     return maxent_lm.score(docs, maxent_lm.fit(docs.where(~out).select("text")), held_out=out)
 
 
-@query()
+_PRIME = 2147483647
+
+
+def _mix_hash(key: str, turn: str, x: str) -> str:
+    y = f"((({x}) % {_PRIME}) * 48271::BIGINT + (({x}) // {_PRIME}) * 7919 + (({key}) % {_PRIME}) * 69621 + ({turn}) * 16807 + 12345) % {_PRIME}"
+    return f"((({y}) * (({y}) + 1)) % {_PRIME} * 39373 + ({turn})) % {_PRIME}"
+
+
+_KEY = "source_no * 4 + i // blocks + 1"
+_PARTNER = f"(((({_mix_hash(_KEY, 'r', '7')}) * {_PRIME}::BIGINT + ({_mix_hash(_KEY, 'r', '11')})) % blocks) + blocks - acc) % blocks"
+_BLOCK = f"""list_reduce(range(1, 13), lambda acc, r: list_transform([{_PARTNER}], lambda p:
+  CASE WHEN (({_mix_hash(_KEY, 'r', 'greatest(acc, p)')}) // 65536) % 2 = 1 THEN p ELSE acc END)[1], i % blocks)"""
+
+
+@query(f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ((doc_id % {_PRIME} + {_PRIME}) % {_PRIME}) * 48271 % {_PRIME} % greatest(1, (count(*) OVER () + 4095) // 4096) AS bucket
+  FROM documents
+), s0 AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM d GROUP BY source
+), s1 AS (
+  SELECT *, [5, 2, 1][source_no % 3 + 1]::BIGINT AS weight, source_size * 3 AS most FROM s0
+), s2 AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (
+      ORDER BY most / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS remain,
+    sum(weight) OVER (ORDER BY most / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS weights
+  FROM s1
+), s3 AS (
+  SELECT *, most * weights < remain * weight AS bounded FROM s2
+), s4 AS (
+  SELECT *, (SELECT max({{'w': weights, 'l': remain}}) FROM s3 WHERE NOT bounded) AS level FROM s3
+), s5 AS (
+  SELECT *, CASE WHEN bounded THEN most::DOUBLE ELSE (level.l * weight)::DOUBLE / level.w::DOUBLE END AS target,
+    (source_size + 63) // 64 AS blocks FROM s4
+), s6 AS (
+  SELECT *, coalesce(least(floor(target * blocks / nullif(source_size, 0) + 0.5)::BIGINT, blocks * 3), 0) AS slots FROM s5
+), i AS (
+  SELECT source_no, blocks, unnest(range(slots)) AS i FROM s6 WHERE slots > 0
+), c AS (
+  SELECT source_no, block, count(*) AS n FROM (SELECT source_no, {_BLOCK} AS block FROM i) GROUP BY ALL
+), r AS (
+  SELECT d.doc_id, d.size, s6.source_no, s6.source_size, s6.target, row_number() OVER () AS rid, (sum(d.size) OVER (
+    PARTITION BY s6.source_no ORDER BY bucket NULLS FIRST, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS pos
+  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
+), p AS (
+  SELECT rid, source_no, pos, size, unnest(range(pos // 64, (pos + size - 1) // 64 + 1)) AS block FROM r WHERE size > 0
+), t AS (
+  SELECT rid, sum((least((block + 1) * 64, pos + size) - greatest(block * 64, pos)) * n)::BIGINT AS taken
+  FROM p JOIN c USING (source_no, block) GROUP BY rid
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM r LEFT JOIN t USING (rid)
+""")
 def op4_mix_to_weights(spark, sf):
     return mix_counts(table(spark, sf, "documents"))
 
