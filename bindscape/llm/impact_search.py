@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from bindscape.functions.session import settle
@@ -24,12 +25,13 @@ QUERY_ROWS = 1024
 SEGMENTS = 6  # segments of a shard; each halves the impact that is left
 RESCORE_SHARE = 0.02  # a query goes on while more of a shard than this may be a member
 EXACT = 2.0 ** 53
+NO_ID = np.iinfo(np.int64).max  # stands for a null id, and sorts behind all others
 
 
 def _matrix(column, k: int):
     """(ids, row keys, integer vectors) of packed rows ``k``."""
     rows = column[k].values
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(rows.field("id"), NO_ID).to_numpy(zero_copy_only=False)
     vectors = rows.field("v")
     sizes = np.diff(vectors.offsets.to_numpy())
     values = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * 256)
@@ -78,7 +80,6 @@ def shard_top_k(queries, candidates, k: int):
     mine = np.array([own.get(r, -1) for r in q_rows], np.int64)
     weight = np.abs(q).sum(axis=1)
     exact = weight.max(initial=0) * np.abs(x).max(initial=0) < EXACT
-    order_ids = np.where(np.isnan(ids.astype(np.float64)), np.iinfo(np.int64).max, ids).astype(np.int64) if ids.dtype != np.int64 else ids
     out = []
 
     def close(which, scores, slack):
@@ -90,7 +91,7 @@ def shard_top_k(queries, candidates, k: int):
                 keep = np.flatnonzero(row + slack[i] >= least)
             keep = keep[keep != mine[i]]
             value = _exact_scores(q[i], x[keep]) if not exact else np.rint(q[i] @ x[keep].T).astype(np.int64)
-            best = np.lexsort((rows[keep], order_ids[keep], -value))[:k]
+            best = np.lexsort((rows[keep], ids[keep], -value))[:k]
             out.append((np.full(len(best), i), keep[best], value[best]))
 
     if not exact:
@@ -126,9 +127,8 @@ def _search(k: int):
                 queries, shard = _matrix(batch.column(0), r), _matrix(batch.column(1), r)
                 i, j, score = shard_top_k(queries, shard, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries[1][i], pa.int64()), pa.array([None if x != x else int(x) for x in queries[0][i]], pa.int64()),
-                     pa.array(shard[1][j], pa.int64()), pa.array([None if x != x else int(x) for x in shard[0][j]], pa.int64()),
-                     pa.array(score)], ["query_row", "query_id", "row", "id", "score"])
+                    [pa.array(queries[1][i]), pa.array(queries[0][i]), pa.array(shard[1][j]),
+                     pa.array(shard[0][j], mask=shard[0][j] == NO_ID), pa.array(score)], ["query_row", "query_id", "row", "id", "score"])
     return run
 
 

@@ -38,6 +38,7 @@ FREQUENT = 1 << 17  # words whose counts travel with the tasks
 MERGE = 16  # task results merged at a time
 PARTS = 16  # row ranges of the weights that are merged apart
 FLUSH_WORDS = 1 << 20
+TASK_TOKENS = 4_000_000  # training tokens of a task, about; its result is as large as the weights
 END = np.uint64(0x6A09E667F3BCC909)  # stands for the end of a text
 START = np.uint64(0xBB67AE8584CAA73B)
 _MULTIPLIERS = [np.uint64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 2**63, 4, dtype=np.uint64)]
@@ -103,7 +104,7 @@ class Weights:
         grad = np.exp(self.log_classes(f))
         grad[np.arange(len(target)), target] -= 1
         flat = f.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # radix sort
         rows = flat[order]
         at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         rows = rows[at]
@@ -223,10 +224,11 @@ def fit(texts: DataFrame, *, rounds: int = ROUNDS) -> LanguageModel:
     single = np.maximum(single, 1e-3)
     weights = Weights(np.zeros((1 << TABLE_BITS, CLASSES), np.float32), np.log(single / single.sum()).astype(np.float32))
     top_value = spark.sparkContext.broadcast(top_hashes)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // TASK_TOKENS))
+    texts = texts.coalesce(tasks)
     for _ in range(rounds):
         value = spark.sparkContext.broadcast(weights)
         results = settle(texts.mapInArrow(_train(value, top_value), _RESULT))
-        tasks = (results.agg(F.max("task")).first()[0] or 0) + 1
         table = weights.table.copy()
         for r in _averaged(results, tasks).itertuples():
             rows = np.frombuffer(r.rows, np.int32)
