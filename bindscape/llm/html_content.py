@@ -346,7 +346,7 @@ def made_pages(n: int, seed: int = 9) -> Iterator[str]:
         return "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
 
     def paragraph(tag="p"):
-        text = " ".join(sentence() for _ in range(rng.randint(1, 7)))
+        text = " ".join(sentence() for _ in range(rng.randint(1, 7))) if rng.random() < 0.8 else sentence(1, 3)
         if rng.random() < 0.2:
             text = f'<a href="#">{word()} {word()}</a> ' + text
         return f"<{tag}>{'<b>' if rng.random() < 0.2 else ''}{text}{'' if rng.random() < 0.15 else f'</{tag}>'}"
@@ -369,19 +369,22 @@ def made_pages(n: int, seed: int = 9) -> Iterator[str]:
         body = rng.choice([f"<ul>{links(rng.randint(3, 9))}</ul>", paragraph(), f"<h3>{word()}</h3><p>{sentence()}</p>"])
         return f"<{tag}{some(SIDE_NAMES) if tag == 'div' or rng.random() < .5 else ''}>{body}</{tag}>"
 
+    def not_content(make):
+        return lambda: make().replace(">", ' data-content="0">', 1)
+
+    inside = [
+        paragraph, lambda: f"<h2>{sentence(2, 6)}</h2>", lambda: f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(3))}</ul>",
+        lambda: f"<blockquote>{paragraph()}</blockquote>", lambda: f"<pre>{sentence()}</pre>", lambda: f"<div>{sentence()} {sentence()}</div>",
+        lambda: f"<table><tr><th>{word()}</th><td>{sentence(2, 5)}</td></tr></table>",
+        lambda: f"<figure><figcaption>{sentence(3, 9)}</figcaption></figure>",
+        not_content(advert), not_content(side), not_content(notice), not_content(form)]
     for _ in range(n):
         top = rng.choice([f"<header{some(TOP_NAMES)}><h1>{word()}</h1><p>{sentence(3, 8)}</p></header>", f"<div{some(TOP_NAMES)}>{word()} {word()}</div>", ""])
         menu = rng.choice([f"<nav><ul>{links(rng.randint(3, 9))}</ul></nav>", f"<div{some(MENU_NAMES)}><ul>{links(5)}</ul></div>", f"<ul{some(MENU_NAMES)}>{links(6)}</ul>"])
         foot = rng.choice([f"<footer>&copy; {word()} {sentence()}</footer>", f"<div{some(FOOT_NAMES)}><p>&copy; {sentence()}</p></div>"])
         pieces = []
-        for _ in range(rng.choice([1, 2, 4, 8, 16])):
-            pieces.append(rng.choices([
-                paragraph(), f"<h2>{sentence(2, 6)}</h2>", f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(3))}</ul>",
-                f"<blockquote>{paragraph()}</blockquote>", f"<pre>{sentence()}</pre>", f"<div>{sentence()} {sentence()}</div>",
-                f"<table><tr><th>{word()}</th><td>{sentence(2, 5)}</td></tr></table>", f"<figure><figcaption>{sentence(3, 9)}</figcaption></figure>",
-                advert().replace(">", ' data-content="0">', 1), side().replace(">", ' data-content="0">', 1), notice().replace(">", ' data-content="0">', 1),
-                form().replace(">", ' data-content="0">', 1)],
-                [12, 2, 1, 1, .5, 1, .5, .5, .7, .3, .4, .3])[0])
+        for _ in range(rng.choice([1, 1, 2, 4, 8, 16])):
+            pieces.append(rng.choices(inside, [12, 2, 1, 1, .5, 1, .5, .5, .7, .3, .4, .3])[0]())
         tag = rng.choice(["article", "article", "main", "div", "div", "section"])
         named = tag == "div" or rng.random() < 0.4
         title = f"<h1>{sentence(3, 9)}</h1>" if rng.random() < 0.8 else ""

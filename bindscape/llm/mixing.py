@@ -164,16 +164,17 @@ def mixed_shards(docs: DataFrame, *, id_col="doc_id", text_col="text", source_co
 
 def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """Rows of ``docs`` that the mix takes words of; the text becomes the words
-    taken, pass by pass, joined by one space.  Other columns stay."""
-    others = [c for c in docs.columns if c != id_col]
-    rows, targets = _indexed(_sized(docs, id_col, text_col, source_col, others), [f"kept_{c}" for c in others])
-    taken = _pieces(rows, targets).groupBy("source_no", "row").agg(
-        F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias("pieces"))
-    rows = rows.join(taken, ["source_no", "row"])
-    words = F.filter(F.split(F.col(f"kept_{text_col}"), GAP), lambda w: w != "")
-    rows = rows.withColumn("words", words)
-    parts = F.transform("pieces", lambda p: F.array_join(
-        F.slice("words", (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), " "))
-    return rows.select(*[
-        F.col("doc_id").alias(c) if c == id_col else F.array_join(parts, " ").alias(c) if c == text_col else F.col(f"kept_{c}").alias(c)
-        for c in docs.columns])
+    taken, pass by pass, joined by one space.  Other columns stay; none may be named
+    ``mix_key``, ``mix_pieces`` or ``mix_words``."""
+    base = settle(docs.withColumn("mix_key", F.monotonically_increasing_id()))
+    rows, targets = _indexed(_sized(base, id_col, text_col, source_col, ["mix_key"]), ["kept_mix_key"])
+    taken = _pieces(rows, targets).join(rows.select("source_no", "row", "kept_mix_key"), ["source_no", "row"])
+    taken = taken.groupBy(F.col("kept_mix_key").alias("mix_key")).agg(
+        F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias("mix_pieces"))
+    # only the pieces, never the texts, went through the sorting above
+    out = base.join(taken, "mix_key")
+    words = F.filter(F.split(F.col(text_col), GAP), lambda w: w != "")
+    out = out.withColumn("mix_words", words)
+    parts = F.transform("mix_pieces", lambda p: F.array_join(
+        F.slice("mix_words", (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), " "))
+    return out.withColumn(text_col, F.array_join(parts, " ")).select(*docs.columns)
