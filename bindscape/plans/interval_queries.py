@@ -33,12 +33,12 @@ def count_interval_overlaps(spark, sf):
     return iv.count_overlaps(left, p.where("sample_id <> 0"))
 
 
-@query(sql("""SELECT a.event_id, a.chrom, a.start, a.stop FROM peaks a WHERE a.sample_id=0 AND EXISTS
-    (SELECT 1 FROM peaks b WHERE b.sample_id=1 AND a.chrom=b.chrom AND b.start<a.stop AND a.start<b.stop)"""))
+@query(sql("""SELECT a.event_id, a.chrom, a.start, a.stop FROM peaks a WHERE a.sample_id<2 AND EXISTS
+    (SELECT 1 FROM peaks b WHERE b.sample_id>=2 AND a.chrom=b.chrom AND b.start<a.stop AND a.start<b.stop)"""))
 def overlap_semi_join(spark, sf):
     p = v.peaks(spark, sf)
-    left = p.where("sample_id = 0").select("event_id", "chrom", "start", "stop")
-    return iv.overlapping(left, p.where("sample_id = 1"))
+    left = p.where("sample_id < 2").select("event_id", "chrom", "start", "stop")
+    return iv.overlapping(left, p.where("sample_id >= 2"))
 
 
 _FLAGS = ", ".join(f"CAST(coalesce(max(CASE WHEN h.sample_id={s} THEN 1 END),0) AS INTEGER) AS s_{s}" for s in SAMPLES)

@@ -60,7 +60,9 @@ def imbalance_gradients(spark, sf):
 
 
 TS = {
-    "one": "SELECT * FROM tensor WHERE sample_id=0", "two": "SELECT * FROM tensor WHERE sample_id=1",
+    # samples in pairs: two feature tables over the chromosomes of each pair
+    "one": "SELECT chrom || '_' || CAST(sample_id//2 AS VARCHAR) AS chrom, start, features FROM tensor WHERE sample_id%2=0",
+    "two": "SELECT chrom || '_' || CAST(sample_id//2 AS VARCHAR) AS chrom, start, features FROM tensor WHERE sample_id%2=1",
     "la": "SELECT chrom, start, CASE features[1]%3 WHEN 0 THEN 'U' WHEN 1 THEN 'B' ELSE 'A' END AS label FROM one",
     "lbl": "SELECT chrom, start, CASE features[2]%3 WHEN 0 THEN 'U' WHEN 1 THEN 'B' ELSE 'A' END AS label FROM one",
 }
@@ -69,18 +71,19 @@ TS = {
 @query(sql("""SELECT la.chrom, la.start, la.label, CAST(la.label='B' AS INTEGER) AS y, CAST(la.label<>'A' AS INTEGER) AS weight,
     round(list_sum(one.features) + list_sum(two.features)*1.0/m.m, 6) AS total FROM la JOIN lbl ON la.chrom=lbl.chrom AND la.start=lbl.start AND la.label=lbl.label
     JOIN one ON one.chrom=la.chrom AND one.start=la.start JOIN two ON two.chrom=la.chrom AND two.start=la.start
-    CROSS JOIN (SELECT max(list_max(features)) AS m FROM two WHERE chrom='chr2') m WHERE la.chrom IN ('chr1','chr2')""", **TS))
+    CROSS JOIN (SELECT max(list_max(features)) AS m FROM two WHERE chrom='chr2_0') m""", **TS))
 def training_set_assembly(spark, sf):
     t = settle(v.tensor(spark, sf))
     as_double = F.transform("features", lambda x: x.cast("double"))
-    one = t.where("sample_id = 0").select("chrom", "start", as_double.alias("features"))
-    two = t.where("sample_id = 1").select("chrom", "start", as_double.alias("features"))
+    pair = F.concat("chrom", F.lit("_"), F.floor(F.col("sample_id") / 2).cast("string")).alias("chrom")
+    one = t.where("sample_id % 2 = 0").select(pair, "start", as_double.alias("features"))
+    two = t.where("sample_id % 2 = 1").select(pair, "start", as_double.alias("features"))
 
     def labels(i):
         r = F.get("features", F.lit(i)) % 3
         return one.select("chrom", "start", F.when(r == 0, "U").when(r == 1, "B").otherwise("A").alias("label"))
 
-    out = md.training_set(one, two, labels(0), labels(1), chroms=["chr2", "chr1"], scale_chrom="chr2")
+    out = md.training_set(one, two, labels(0), labels(1), chroms=[f"chr{c}_{k}" for c in (2, 1) for k in range(5)], scale_chrom="chr2_0")
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
     return out.select("chrom", "start", "label", "y", "weight", F.round(total, 6).alias("total"))
 
@@ -182,13 +185,14 @@ def parameter_trials(spark, sf):
     return md.run_trials(settle(rows(spark, sf)), trials, rounds=2, patience=2)
 
 
-@query(sql("""SELECT t.sample_id, t.chrom, t.start, CAST(t.features[1]>10 AS INTEGER) AS y, len(t.features) AS n FROM tensor t"""))
+@query(sql("""SELECT t.sample_id, t.chrom, t.start, CAST(l.features[1]>10 AS INTEGER) AS y, len(t.features) AS n FROM tensor t
+    JOIN tensor l ON l.sample_id=0 AND l.chrom=t.chrom AND l.start=t.start"""))
 def stacked_replicates(spark, sf):
     t = v.tensor(spark, sf)
     label = F.when(F.get("features", F.lit(0)) > 10, "B").otherwise("U")
-    # labels per bin and replicate: each replicate keeps its own row
-    parts = t.select("sample_id", "chrom", "start", label.alias("label"))
-    out = md.lb.weighted_target(t.join(parts, ["sample_id", "chrom", "start"]))
+    # one label table for all replicates of a bin: sample 0's
+    labels = t.where("sample_id = 0").select("chrom", "start", label.alias("label"))
+    out = md.stack_replicates(t, labels)
     return out.select("sample_id", "chrom", "start", "y", F.size("features").cast("bigint").alias("n"))
 
 

@@ -188,7 +188,7 @@ def sqtknn_profile(spark, sf):
 CHIM = {
     "lv": "SELECT sample_id, chrom, start, chrom || '_' || CAST(start//350 AS VARCHAR) AS segment, features, (features[13]+features[14]+features[37]+features[38])/4.0 AS lv, CASE WHEN features[1]>10 THEN 'B' ELSE 'U' END AS label FROM tensor",
     "cr": """SELECT a.segment, a.sample_id, coalesce(round(CASE WHEN var_pop(a.lv)=0 OR var_pop(b.lv)=0 THEN NULL ELSE corr(a.lv, b.lv) END, 3), -2.0) AS r FROM lv a JOIN lv b
-       ON b.sample_id=9 AND a.sample_id<5 AND a.chrom=b.chrom AND a.start=b.start AND a.segment=b.segment GROUP BY ALL""",
+       ON b.sample_id=9 AND a.sample_id<9 AND a.chrom=b.chrom AND a.start=b.start AND a.segment=b.segment GROUP BY ALL""",
     "pick": "SELECT segment, sample_id, r FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY r DESC, sample_id) AS n FROM cr) WHERE n=1",
 }
 
@@ -198,7 +198,7 @@ def best_sample_per_segment(spark, sf):
     t = settle(v.tensor(spark, sf))
     labels = t.select("sample_id", "chrom", "start", F.when(F.get("features", F.lit(0)) > 10, "B").otherwise("U").alias("label"))
     segments = t.select("chrom", "start", F.concat("chrom", F.lit("_"), F.floor(F.col("start") / 350).cast("string")).alias("segment")).distinct()
-    out = nm.chimera(t, labels, segments, 9, [0, 1, 2, 3, 4])
+    out = nm.chimera(t, labels, segments, 9, list(range(9)))
     return out.select("chrom", "start", "segment", "sample_id", "r", "label",
                       F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"))
 

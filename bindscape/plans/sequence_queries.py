@@ -32,7 +32,7 @@ _VALUES = ", ".join(
 SCAN = {
     "pwm": f"SELECT * FROM (VALUES {_VALUES}) t(motif, j, base, w)",
     "base": f"SELECT chrom, seq, length(seq) AS len FROM sequences WHERE length(seq) >= {LMAX}",
-    "letters": "SELECT chrom, len, unnest(range(0, len)) AS i, unnest(string_split(seq, '')) AS b FROM base",
+    "letters": "SELECT chrom, len, unnest(range(0, len)) AS i, unnest(string_split(replace(seq, 'N', 'A'), '')) AS b FROM base",
     # bases before the start read as code 0: A forward, T on the other strand
     "padded": "SELECT * FROM letters UNION ALL SELECT chrom, len, -x, '?' FROM base CROSS JOIN (SELECT unnest([1,2,3,4]) AS x)",
     "fwd": f"""SELECT p.chrom, w.motif, p.i-w.j+{LMAX // 2} AS pos, sum(w.w) AS score FROM padded p JOIN pwm w
@@ -51,7 +51,7 @@ SCAN = {
 SCAN.pop("win")
 
 
-@query(sql("SELECT chrom, translate(seq, 'ACGT', '0123') AS code, translate(seq, 'ACGT', '3210') AS complement FROM sequences"))
+@query(sql("SELECT chrom, translate(seq, 'ACGTN', '01230') AS code, translate(seq, 'ACGTN', '32103') AS complement FROM sequences"))
 def sequence_codes(spark, sf):
     code = sq.encode(F.col("seq"))
     return v.sequences(spark, sf).select("chrom", code.alias("code"), sq.complement_code(code).alias("complement"))
@@ -112,7 +112,7 @@ REPORT = {
       FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN part ON l_partkey=p_partkey""",
     "named": "SELECT *, sum(CAST(is_top AS INTEGER)) OVER (PARTITION BY scan ORDER BY row_no) AS cno FROM report",
     "reps": "SELECT scan, cno AS cluster_no, arg_min(name, row_no) AS name FROM named WHERE cno>0 AND NOT starts_with(name, 'denovo') GROUP BY ALL",
-    "zs": "SELECT CAST(s_nationkey%5 AS INTEGER) AS scan, p_brand AS name, -1.0*sum(CAST(l_quantity AS BIGINT)) AS z FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN part ON l_partkey=p_partkey WHERE p_size>5 GROUP BY ALL",
+    "zs": "SELECT CAST(s_nationkey%5 AS INTEGER) AS scan, p_brand AS name, -1.0*sum(CAST(l_quantity AS BIGINT)) AS z FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN part ON l_partkey=p_partkey GROUP BY ALL",
 }
 
 
@@ -145,7 +145,7 @@ def denovo_dropped(spark, sf):
     FROM (SELECT DISTINCT name AS item FROM reps) u CROSS JOIN (SELECT DISTINCT scan FROM report) e LEFT JOIN zs z ON z.scan=e.scan AND z.name=u.item))) GROUP BY item)) WHERE rank<=5""", **REPORT))
 def choose_cofactors(spark, sf):
     li, s, p = (v.table(spark, sf, t) for t in ("lineitem", "supplier", "part"))
-    z = li.join(s, li.l_suppkey == s.s_suppkey).join(p.where("p_size > 5"), li.l_partkey == p.p_partkey).groupBy(
+    z = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey).groupBy(
         (F.col("s_nationkey") % 5).cast("int").alias("scan"), F.col("p_brand").alias("name")
     ).agg((-F.sum(F.col("l_quantity").cast("bigint")).cast("double")).alias("zscore"))
     return sq.choose_cofactors(_report(spark, sf), z, n=5)

@@ -141,6 +141,7 @@ def feature_hstack(spark, sf):
     )
 
 
+# fixed values: distances in bins
 OFFSETS = (-7, -5, -3, -1, 0, 1, 3, 5, 7)
 CODE_OFFSETS = (-12, -8, -4, 0, 4, 8, 12)
 
@@ -164,14 +165,14 @@ def _offsets(spark, sf, offsets, n):
     )
 
 
-@query(_offset_sql(OFFSETS, 4))
+@query(_offset_sql(OFFSETS, D))
 def neighbour_offsets(spark, sf):
-    return _offsets(spark, sf, OFFSETS, 4)
+    return _offsets(spark, sf, OFFSETS, D)
 
 
-@query(_offset_sql(CODE_OFFSETS, 32))
+@query(_offset_sql(CODE_OFFSETS, D))
 def code_offsets(spark, sf):
-    return _offsets(spark, sf, CODE_OFFSETS, 32)
+    return _offsets(spark, sf, CODE_OFFSETS, D)
 
 
 @query(sql("""SELECT t.sample_id, t.chrom, t.start, t.features[1] AS here, coalesce(u.features[1], 0)*1.0 AS before, coalesce(w.features[2], 0)*1.0 AS after

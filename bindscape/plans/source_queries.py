@@ -33,7 +33,7 @@ def narrow_peak_files(spark, sf):
 
 
 _LAB = """SELECT g.chrom, g.start, g.stop, 'cell_' || CAST(s.s AS VARCHAR) AS cell_type, CASE WHEN h.chrom IS NULL THEN 'U' ELSE 'B' END AS label
-    FROM (SELECT DISTINCT chrom, bin_start AS start, bin_start+200 AS stop FROM summit_hits WHERE sample_id<2) g CROSS JOIN (SELECT unnest([0,1]) AS s) s
+    FROM (SELECT DISTINCT chrom, bin_start AS start, bin_start+200 AS stop FROM summit_hits) g CROSS JOIN (SELECT unnest(range(0, 4)) AS s) s
     LEFT JOIN (SELECT DISTINCT chrom, bin_start, sample_id FROM summit_hits) h ON h.chrom=g.chrom AND h.bin_start=g.start AND h.sample_id=s.s"""
 
 
@@ -42,11 +42,11 @@ def label_files(spark, sf):
     from bindscape.operators.intervals import bins_hit
 
     path = scratch_path(spark, "labels")
-    hits = bins_hit(v.summits(spark, sf).where("sample_id < 2")).select(
+    hits = bins_hit(v.summits(spark, sf)).select(
         "chrom", F.col("bin_start").alias("start"), (F.col("bin_start") + 200).alias("stop"),
         F.concat(F.lit("cell_"), F.col("sample_id").cast("string")).alias("cell_type"), F.lit("B").alias("label"),
     ).distinct()
-    wr.write_labels(hits, path, ["cell_0", "cell_1"])
+    wr.write_labels(hits, path, [f"cell_{k}" for k in range(4)])
     return rd.read_labels(spark, path)
 
 
@@ -74,10 +74,11 @@ def nested_json_lines(spark, sf):
     return rd.read_motif_zscores(spark, path).select("name", "zscore")
 
 
-@query(sql("SELECT item, rank FROM expert_ranks WHERE expert=3"))
+@query(sql("SELECT CAST(expert AS VARCHAR) || '/' || item AS item, rank FROM expert_ranks"))
 def rank_json_lines(spark, sf):
     path = scratch_path(spark, "ranks")
-    wr.write_ranks(v.expert_ranks(spark, sf).where("expert = 3"), path)
+    named = F.concat(F.col("expert").cast("string"), F.lit("/"), "item")
+    wr.write_ranks(v.expert_ranks(spark, sf).withColumn("item", named), path)
     return spark.read.schema("item string, rank bigint").json(path)
 
 

@@ -86,7 +86,7 @@ def margins(spark, sf):
 
 def tensor(spark, sf):
     """sample = label; bin = position in the label's vec_id order; four chroms."""
-    e = table(spark, sf, "embeddings").where("label IS NOT NULL")
+    e = table(spark, sf, "embeddings").withColumn("label", F.coalesce("label", F.lit(-1)))
     e = e.withColumn("vec", F.col("vec_id").cast("bigint"))
     ranked = value_index(e, ["label"], "vec", [], name="rn")
     return ranked.select(
@@ -145,7 +145,8 @@ def expert_partial(spark, sf):
 # ---- documents as sequences -----------------------------------------------
 
 def sequences(spark, sf):
-    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    # every character that is no base letter is an unknown base
+    seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]", "N"))
     return table(spark, sf, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), seq.alias("seq")
     )
@@ -200,9 +201,9 @@ VIEWS = {
         LEFT JOIN (SELECT chrom, bin_start, sum(cents) AS c FROM peak_hits GROUP BY ALL) h
         ON g.chrom=h.chrom AND g.start=h.bin_start""",
     "tensor": """SELECT sample_id, 'chr' || CAST(1+(rn-1)%2 AS VARCHAR) AS chrom, ((rn-1)//2)*50 AS start, features FROM (
-        SELECT CAST(label AS INTEGER) AS sample_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn,
+        SELECT CAST(coalesce(label, -1) AS INTEGER) AS sample_id, row_number() OVER (PARTITION BY coalesce(label, -1) ORDER BY vec_id) AS rn,
         list_transform(embedding, lambda v: CAST(greatest(round(CAST(v AS DOUBLE)*100), 0) AS BIGINT)) AS features
-        FROM embeddings WHERE label IS NOT NULL)""",
+        FROM embeddings)""",
     "tlong": """SELECT sample_id, chrom, start, unnest(range(0, 64)) AS feature_idx, unnest(features) AS value FROM tensor""",
     "roles": """SELECT DISTINCT sample_id, CASE WHEN sample_id < 5 THEN 'train' ELSE 'test' END AS role FROM tensor""",
     "scored_labels": """SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber,
@@ -212,7 +213,7 @@ VIEWS = {
         FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN part ON l_partkey=p_partkey GROUP BY ALL""",
     "expert_ranks": """SELECT expert, item, row_number() OVER (PARTITION BY expert ORDER BY score DESC, item) AS rank FROM expert_scores""",
     "expert_partial": "SELECT * FROM expert_ranks WHERE rank <= 5 + expert%7",
-    "sequences": "SELECT 'd' || CAST(doc_id AS VARCHAR) AS chrom, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents",
+    "sequences": "SELECT 'd' || CAST(doc_id AS VARCHAR) AS chrom, upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')) AS seq FROM documents",
     "sample_meta": """SELECT c_custkey AS sample_id, CASE WHEN c_custkey%3=0 THEN 'NONE' ELSE c_mktsegment END AS line,
         n_name AS kind, 'R' || CAST(n_regionkey AS VARCHAR) AS tissue, c_acctbal/10000 AS quality,
         'TF' || CAST(c_custkey%7 AS VARCHAR) AS factor, CAST(c_custkey%10 AS INTEGER) AS cluster,
