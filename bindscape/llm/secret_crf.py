@@ -131,13 +131,24 @@ class ConditionalField:
         return e
 
     def decode(self, e: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Tags of all tokens.  A run of tags other than outside gains at most the
-        sum of its tokens' gains and one more move; where no token's gain is above
-        minus a move's, outside is the best path of the text."""
+        """Tags of all tokens.
+
+        Against staying outside, a run of m tags gains the sum of d = best tag's
+        emission minus outside's, and pays one move in, one out (none at a text's
+        ends) and m - 1 inside.  So it can only win when some d is above the least
+        of these prices, half of the inner one where the run is the whole text; in
+        other texts outside is the best path.
+        """
         tags = np.zeros(len(e), np.int8)
-        move = self.moves.max() - self.moves[OUTSIDE, OUTSIDE]
-        gain = np.maximum(e[:, BEGIN], e[:, INSIDE]) - e[:, OUTSIDE] + move
-        hot = np.flatnonzero(gain > -move)
+        stay = self.moves[OUTSIDE, OUTSIDE]
+        enter, leave = self.moves[OUTSIDE, 1:].max() - stay, self.moves[1:, OUTSIDE].max() - stay
+        inner = self.moves[1:, 1:].max() - stay
+        price = max(0.0, min(-enter, -leave, -inner / 2))
+        d = np.maximum(e[:, BEGIN], e[:, INSIDE]) - e[:, OUTSIDE]
+        alone = np.repeat(np.diff(bounds) == 1, np.diff(bounds))
+        hot = np.flatnonzero((d > price) | alone & (d > 0))
+        if price == 0.0:
+            hot = np.flatnonzero(d + max(0.0, enter, leave, inner) * 2 > 0)
         for k in np.unique(np.searchsorted(bounds, hot, side="right") - 1):
             lo, hi = bounds[k], bounds[k + 1]
             tags[lo:hi] = _viterbi(e[lo:hi].tolist(), self.moves.tolist())
