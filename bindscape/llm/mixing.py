@@ -136,7 +136,8 @@ def _pieces(rows: DataFrame, targets: DataFrame) -> DataFrame:
     parts = parts.select(
         "source_no", "row", "block", F.expr(f"greatest(block * {b} - at, 0)").alias("first_word"),
         F.expr(f"least((block + 1) * {b}, at + size) - greatest(block * {b}, at)").alias("n_words"))
-    return draw_slots(targets).join(parts, ["source_no", "block"])
+    # the planner sees only the few rows that slots are made from, and would broadcast them
+    return draw_slots(targets).hint("merge").join(parts, ["source_no", "block"])
 
 
 def mix_counts(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
