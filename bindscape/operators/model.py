@@ -231,12 +231,13 @@ def train_boosted(
     metric: Callable[[DataFrame], dict[str, float]] = average_precision_metric,
     on_round: Callable[[int, dict[str, float]], None] | None = None,
     settle_every: int = 10,
+    metric_every: int = 1,
     seed: int = 2019,
 ) -> Booster:
     """Boost trees on the rows with ``set_name`` = 'train'.
 
-    Other set names are validation sets: after each round their mean metric
-    decides the best round, and training stops ``patience`` rounds after it.
+    Other set names are validation sets: after every ``metric_every`` rounds, and
+    the last, their mean metric decides the best round, and training stops ``patience`` rounds after it.
     ``depth`` 6 gives up to 64 leaves.  Rows of weight 0 are kept for counting
     and metrics but do not fit trees.  Margins are written to the shared
     folder every few rounds so that lineage stays short.
@@ -244,7 +245,7 @@ def train_boosted(
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     start = F.col(init_margin).cast("double") if init_margin else F.lit(0.0)
     rows = settle(
-        spread(df, features).select(
+        spread(df).select(
             array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("x"),
             F.col(y).cast("double").alias("y"), w.alias("w"), F.col(set_name).alias("set_name"), start.alias("margin"),
         )
@@ -272,7 +273,7 @@ def train_boosted(
         else:
             rows, old = moved.persist(StorageLevel.MEMORY_AND_DISK), held
             held = rows
-        if has_valid:
+        if has_valid and (r % metric_every == 0 or r == rounds):
             values = metric(rows.where("set_name <> 'train'").select("set_name", "margin", "y"))
             booster.history += [(r, s, v) for s, v in sorted(values.items())]
             mean = float(np.mean(list(values.values())))

@@ -173,6 +173,29 @@ def clustered_model_margins(spark, sf):
     return out.select(*KEY, "cluster", F.round("margin", 4).alias("margin"))
 
 
+@query()
+def self_prediction_margins(spark, sf):
+    """A model scores the rows it was trained on."""
+    df = settle(rows(spark, sf)).where("set_name = 'train'")
+    return md.score(md.train_boosted(df, **{**FAST, "rounds": 2, "patience": None}), df).select(*KEY, F.round("margin", 2).alias("margin"))
+
+
+@query()
+def chrom_set_margins(spark, sf):
+    """Two sets: each is scored by the model of the other."""
+    df = settle(rows(spark, sf).withColumn("part", F.col("l_orderkey") % 2))
+    out = [md.score(md.train_boosted(df.where(F.col("part") != k), **{**FAST, "rounds": 2}), df.where(F.col("part") == k)) for k in (0, 1)]
+    return out[0].unionByName(out[1]).select(*KEY, "part", F.round("margin", 2).alias("margin"))
+
+
+@query()
+def clustered_cross_set_margins(spark, sf):
+    """Local models of one set score the rows of the other."""
+    df = settle(rows(spark, sf).withColumn("part", F.col("l_orderkey") % 2))
+    out = md.clustered_models(df.where("part = 0").drop("part"), df.where("part = 1").drop("part"), 2, **{**FAST, "rounds": 2})
+    return out.select(*KEY, "cluster", F.round("margin", 4).alias("margin"))
+
+
 @query()
 def cross_validated_metric(spark, sf):
     df = sm.fold_column(rows(spark, sf).drop("set_name"), 3, key=KEY)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindscape.functions.prefix import value_index
+from bindscape.functions.session import settle
 
 # fixed values: 1-based score column of each peak format
 SCORE_COLUMN = {"summit": 5, "narrowpeak": 9}
@@ -26,19 +27,26 @@ def read_bed(spark: SparkSession, path: str, extra: Mapping[str, str] | None = N
 
 
 def read_peaks(
-    spark: SparkSession, path: str, kind: str = "narrowpeak", *, sample_pattern: str = r"([^/_]+)_[^/]*$"
+    spark: SparkSession, path: str, kind: str = "narrowpeak", *, sample_pattern: str = r"([^/_]+)_[^/]*$", rank_by: str = "score"
 ) -> DataFrame:
     """Peak or summit files; ``sample_id`` is cut from the file path (default:
-    the file name up to the first '_'), ``file_rank`` orders each sample by
-    falling score, then position."""
+    the file name up to the first '_').  ``file_rank`` orders each sample by
+    falling score, then position, or with ``rank_by="file"`` by the lines of its
+    files."""
     names = [f"c{i}" for i in range(1, PEAK_WIDTH[kind] + 1)]
     score = F.col(f"c{SCORE_COLUMN[kind]}").cast("double")
     df = _tsv(spark, path, names).select(
         F.regexp_extract(F.col("_metadata.file_path"), sample_pattern, 1).alias("sample_id"),
         F.col("c1").alias("chrom"), F.col("c2").cast("bigint").alias("start"), F.col("c3").cast("bigint").alias("stop"),
-        score.alias("score"),
+        score.alias("score"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__line"),
     )
-    return value_index(df, ["sample_id"], "score", ["chrom", "start", "stop"], name="file_rank", descending=True)
+    if rank_by == "file":
+        # a block of a file is read in order by one task
+        ranked = value_index(settle(df), ["sample_id"], "__file", ["__block", "__line"], name="file_rank")
+    else:
+        ranked = value_index(df, ["sample_id"], "score", ["chrom", "start", "stop"], name="file_rank", descending=True)
+    return ranked.drop("__file", "__block", "__line")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

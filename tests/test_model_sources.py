@@ -142,6 +142,8 @@ def test_file_formats(spark, tmp_path):
     (tmp_path / "77_sort_summits.bed").write_text("c\t5\t6\tn\t2.5\nc\t1\t2\tn\t9\n")
     rows = rd.read_peaks(spark, str(tmp_path / "77_sort_summits.bed"), "summit").orderBy("file_rank").collect()
     assert [(r.sample_id, r.start, r.score, r.file_rank) for r in rows] == [("77", 1, 9.0, 1), ("77", 5, 2.5, 2)]
+    rows = rd.read_peaks(spark, str(tmp_path / "77_sort_summits.bed"), "summit", rank_by="file").orderBy("file_rank").collect()
+    assert [(r.start, r.file_rank) for r in rows] == [(5, 1), (1, 2)]
     line = "\t".join(f"v{i}" if i != 27 else "0.5" for i in range(1, 30))
     (tmp_path / "meta.tsv").write_text("\t".join(f"h{i}" for i in range(1, 30)) + "\n" + line + "\n")
     m = rd.read_positional(spark, str(tmp_path / "meta.tsv"), rd.ACCESSIBILITY_COLUMNS).first()
