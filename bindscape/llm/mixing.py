@@ -166,7 +166,7 @@ def mixed_shards(docs: DataFrame, *, id_col="doc_id", text_col="text", source_co
 def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """Rows of ``docs`` that the mix takes words of; the text becomes the words
     taken, pass by pass, joined by one space.  Other columns stay; none may be named
-    ``mix_key``, ``mix_pieces`` or ``mix_words``."""
+    ``mix_key`` or ``mix_pieces``."""
     base = settle(docs.withColumn("mix_key", F.monotonically_increasing_id()))
     rows, targets = _indexed(_sized(base, id_col, text_col, source_col, ["mix_key"]), ["kept_mix_key"])
     taken = _pieces(rows, targets).join(rows.select("source_no", "row", "kept_mix_key"), ["source_no", "row"])
@@ -175,7 +175,7 @@ def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_c
     # only the pieces, never the texts, went through the sorting above
     out = base.join(taken, "mix_key")
     words = F.filter(F.split(F.col(text_col), GAP), lambda w: w != "")
-    out = out.withColumn("mix_words", words)
-    parts = F.transform("mix_pieces", lambda p: F.array_join(
-        F.slice("mix_words", (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), " "))
-    return out.withColumn(text_col, F.array_join(parts, " ")).select(*docs.columns)
+    piece = lambda w, p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), " ")
+    # the words are bound once, as the only element of an array, and not split again for each piece
+    text = F.transform(F.array(words), lambda w: F.array_join(F.transform("mix_pieces", lambda p: piece(w, p)), " "))
+    return out.withColumn(text_col, F.element_at(text, 1)).select(*docs.columns)
