@@ -203,10 +203,10 @@ def test_near_duplicate_vectors_at_the_threshold(spark):
     near = y @ y.T >= 0.95
     np.fill_diagonal(near, False)
     want = union(range(len(x)), zip(*map(list, np.nonzero(near))))
-    got = near_duplicate_vectors(table).toPandas().set_index("vec_id")
+    got = near_duplicate_vectors(table).toPandas().set_index("vec_id").loc[range(len(x))]
     assert (got["n_links"] == near.sum(axis=1)).mean() > 0.999
     assert (got["component_id"] == [want[i] for i in got.index]).mean() > 0.999
-    assert (got["n_links"] <= near.sum(axis=1)[got.index]).all()
+    assert (got["n_links"] <= near.sum(axis=1)).all()
 
 
 def test_language_accuracy_and_mixed_spans(spark):
