@@ -247,8 +247,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, switch: float = SWITCH, i
     """
     value = docs.sparkSession.sparkContext.broadcast(model)
     keep = list(keep)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep if c != text_col])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kinds[f"kept_{text_col}"] = kinds["text"]
+    # the text travels once, though it is kept
+    places = [1 if c == text_col else rows.columns.index(f"kept_{c}") for c in keep]
 
     def run(batches):
         for batch, first, end, f, scores, labels in _run_texts(value, batches, switch):
@@ -269,7 +272,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, switch: float = SWITCH, i
             names = np.array([*value.value.names, UNKNOWN], object)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, n), pa.array(names[np.where(known, pred, len(names) - 1)], pa.string()), pa.array(score)]
-                + [batch.column(c).slice(first, n) for c in range(2, batch.num_columns)],
+                + [batch.column(c).slice(first, n) for c in places],
                 ["doc_id", "lang_pred", "score", *[f"kept_{c}" for c in keep]])
 
     out = ", ".join(["doc_id long", "lang_pred string", "score double", *[f"`kept_{c}` {kinds[f'kept_{c}']}" for c in keep]])
