@@ -35,8 +35,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each group that three-word shingles link."""
-    return one_of_each_group(docs).select(*COLUMNS)
+    """One document, the least id, of each group that five-word shingles link at 0.8."""
+    return one_of_each_group(docs, n=5, similarity=(80, 100)).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
