@@ -27,16 +27,21 @@ def _with_lengths(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is found; those without letters go."""
+    """Documents in which some language is found; those without letters go.  Where no
+    label teaches a language, all documents with letters stay."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = language_id.identify(docs, language_id.fit(labelled), keep=COLUMNS[1:])
+    model = language_id.fit(labelled)
+    if not model.names:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language_id.identify(docs, model, keep=COLUMNS[1:])
     kept = found.where(F.col("lang_pred") != language_id.UNKNOWN)
     return kept.select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in COLUMNS[1:]])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each group that five-word shingles link at 0.8."""
-    return one_of_each_group(docs, n=5, similarity=(80, 100)).select(*COLUMNS)
+    """One row, of the least id, of each group that five-word shingles link at 0.8; no
+    other row goes, also where ids are null or repeat."""
+    return one_of_each_group(docs, n=5, similarity=(80, 100), one_per_id=False).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from bindscape.llm.ngram_join import one_of_each_group
 
 SF = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,3 +51,32 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
     rows = [(k, x, "en", "a", 0) for k, x in texts.items()]
     got = sorted(r.doc_id for r in stage(spark, "ngram_jaccard_join", rows).collect())
     assert got == sorted(first_of_each_group(texts))
+
+
+def words(tag, n=30):
+    return " ".join(f"{tag}{k}" for k in range(n))
+
+
+def test_near_duplicate_stage_keeps_clean_rows_without_or_with_repeated_ids(spark):
+    rows = [
+        (None, words("a"), "en", "a", 0), (None, words("b"), "en", "a", 0), (None, words("b"), "en", "b", 0), (None, words("c"), "en", "a", 0),
+        (1, words("a"), "en", "a", 0), (2, words("d"), "en", "a", 0), (5, words("d"), "en", "a", 0), (5, words("e"), "en", "a", 0),
+        (5, words("e"), "en", "a", 0), (6, words("f"), "en", "a", 0), (6, words("g"), "en", "a", 0), (7, None, "en", "a", 0),
+        (None, None, "en", "a", 0), (None, " ", "en", "a", 0), (None, " ", "en", "a", 0)]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, "ngram_jaccard_join", rows).collect()), key=str)
+    assert got == sorted([
+        (None, words("b")), (None, words("c")), (1, words("a")), (2, words("d")), (5, words("e")), (6, words("f")), (6, words("g")),
+        (7, None), (None, None), (None, " "), (None, " ")], key=str)
+
+
+def test_of_a_repeated_id_the_unique_text_stays(spark):
+    rows = [(k, words(t), "en", "a", 0) for k, t in [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "c"), (None, "d"), (None, "e")]]
+    got = one_of_each_group(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+        [(1, words("a")), (2, words("b")), (3, words("c")), (None, words("d")), (None, words("e"))], key=str)
+
+
+def test_language_stage_without_labels_drops_only_letterless_texts(spark):
+    rows = [(1, "some words", None, "a", 10), (None, "\u6f22\u5b57", None, "a", 2), (2, "12 !", None, "a", 4), (3, None, None, "a", None), (4, "", None, None, 0)]
+    got = [(r.doc_id, r.text, r.n_chars) for r in stage(spark, "language_id", rows).collect()]
+    assert sorted(got, key=str) == sorted([(1, "some words", 10), (None, "\u6f22\u5b57", 2)], key=str)
