@@ -45,10 +45,12 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}}
 AWAY = set("nav header footer aside form menu dialog search".split())
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>""",
-    re.DOTALL)
-_NAME = re.compile(r"""\b(class|id|role|hidden|style|data-content)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)""", re.DOTALL)
+# a quote opens a value only after "=", and only where another one closes it; nothing is tried twice
+_ATTRIBUTES = re.compile(r"""(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+""")
+_NAME = re.compile(r"""(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_KEYS = {"class", "id", "role", "hidden", "style", "data-content"}
+_END = re.compile(r"</([a-zA-Z][^\s/>]*+)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -67,6 +69,7 @@ class Page:
         unseen: list[str] = []
         parts: list[str] = []
         links, at, lower = 0, 0, None
+        last, plain, ends = source.rfind(">"), False, None
 
         def flush():
             if parts:
@@ -86,21 +89,33 @@ class Page:
             if found is None:
                 add(source[at:])
                 break
+            name = found[2]
+            if name is not None and last < found.end():
+                # no tag ends behind this place
+                add(source[at: found.end()])
+                at = found.end()
+                continue
             add(source[at: found.start()])
             at = found.end()
-            name = found[2]
             if name is None:
                 if found[0].startswith("<![CDATA[") and not unseen:
                     add(html.escape(found[0][9:].removesuffix("]]>"), False))
                 continue
             name = name.lower()
+            end = source.find(">", at) if plain else _ATTRIBUTES.match(source, at).end()
+            if end == len(source):
+                # values with ">" ran to the end of the page; from here on the first ">" ends a tag
+                plain, end = True, source.find(">", at)
+            attributes, at = source[at:end], end + 1
             if found[1]:
                 if unseen:
                     if name in unseen:
                         del unseen[len(unseen) - 1 - unseen[::-1].index(name):]
-                    elif name == "html":
-                        unseen.clear()
-                elif name == "a":
+                        continue
+                    if name != "html" and not (name in BLOCK and any(self.tags[k] == name for k in stack)):
+                        continue
+                    unseen.clear()  # an element around them ends
+                if name == "a":
                     links = 0
                 elif name in BLOCK:
                     for k in range(len(stack) - 1, 0, -1):
@@ -115,7 +130,7 @@ class Page:
                 elif name == "br":
                     add(" ")
                 continue
-            closed = found[3].endswith("/")
+            closed = attributes.endswith("/")
             if name in UNSEEN:
                 if name in RAW:
                     lower = source.lower() if lower is None and len(source.lower()) == len(source) else lower
@@ -124,13 +139,22 @@ class Page:
                         m = re.compile(f"</{name}", re.IGNORECASE).search(source, at)
                         end = m.start() if m else -1
                     at = len(source) if end < 0 else end
+                if name in ("button", "select") and name in unseen:
+                    del unseen[unseen.index(name):]
                 if not closed or name in RAW:
                     unseen.append(name)
                 continue
             if unseen:
                 if name == "body" or unseen == ["head"] and name in BLOCK:
                     unseen.clear()
-                else:
+                elif name in BLOCK:
+                    # an element whose end tag never comes holds no blocks
+                    ends = {m[1].lower(): m.start() for m in _END.finditer(source)} if ends is None else ends
+                    open_ended = [k for k, x in enumerate(unseen) if x in UNSEEN and x != "head" and ends.get(x, -1) < at]
+                    del unseen[open_ended[0] if open_ended else len(unseen):]
+                    if unseen and not closed:
+                        unseen.append(name)
+                if unseen:
                     continue
             if name == "a":
                 links = 1
@@ -158,9 +182,11 @@ class Page:
             if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", self.tags[stack[-1]]):
                 stack.pop()
             words, label = [], None
-            if found[3].strip():
-                for m in _NAME.finditer(found[3]):
+            if attributes.strip():
+                for m in _NAME.finditer(attributes):
                     key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                    if key not in _KEYS:
+                        continue
                     if key == "data-content":
                         label = int(value == "1")
                     elif key == "style":

@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import time
 
 import corpus_pipeline
+from bindscape.llm.html_content import Page
 from bindscape.llm.ngram_join import one_of_each_group
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +82,37 @@ def test_language_stage_without_labels_drops_only_letterless_texts(spark):
     rows = [(1, "some words", None, "a", 10), (None, "\u6f22\u5b57", None, "a", 2), (2, "12 !", None, "a", 4), (3, None, None, "a", None), (4, "", None, None, 0)]
     got = [(r.doc_id, r.text, r.n_chars) for r in stage(spark, "language_id", rows).collect()]
     assert sorted(got, key=str) == sorted([(1, "some words", 10), (None, "\u6f22\u5b57", 2)], key=str)
+
+
+def blocks(source):
+    return [t for _, t in Page(source).blocks]
+
+
+def test_stray_quotes_in_tags_take_no_text():
+    assert blocks("<p title=don't>It's ok</p><p>next") == ["It's ok", "next"]
+    assert blocks("<p it's>a</p><p 'x>b</p><p \">c</p>") == ["a", "b", "c"]
+    assert blocks("<p title=\"never closed>a</p><p>b") == ["a", "b"]
+    assert blocks("<p title='a > b' class=x>c</p><p title = \"it's >\">d") == ["c", "d"]
+    assert blocks("<p a=\">\" <p>b") == ["b"]
+    page = Page("<div title='class=ad' CLASS=\"Post body\" id=it's hidden>a</div>")
+    assert page.names[1] == ("post", "body", "it", "s", "unshown") and page.blocks == [(1, "a")]
+
+
+def test_tags_take_linear_time():
+    began = time.time()
+    for source in ("<p " + "a" * 5000 + "'", "<p " + "a" * 60 + "' b", "<a b " * 50_000, "<x a=\">\" " * 20_000, "<p a='" * 20_000, "<p " + "a = " * 50_000, "<p " + " " * 100_000):
+        Page(source)
+        Page(source + ">")
+    assert blocks("<p " + "a" * 60 + "'>text</p>") == ["text"]
+    assert time.time() - began < 20
+
+
+def test_unclosed_unseen_elements_hide_no_article():
+    article = "<article><h1>t</h1><p>text</p></article>"
+    for name in ("button", "select", "object", "video", "svg", "canvas"):
+        assert blocks(f"<body><div><{name}>no</div>{article}</body>") == ["t", "text"], name
+        assert blocks(f"<body><{name}>no{article}</body>") == ["t", "text"], name
+        assert blocks(f"<body><div><{name}>no</div>{article}<div><{name}>no</{name}></div></body>") == ["t", "text"], name
+        assert blocks(f"<body><div><{name}><div>no</div>no</{name}>yes</div>{article}</body>") == ["yes", "t", "text"], name
+    assert blocks("<div><button>a<button>b</button>c</div>") == ["c"]
+    assert blocks("<div><noscript><p>a</noscript>b</div>") == ["b"]
