@@ -5,7 +5,7 @@ secret from their shape, the words beside them and features of the whole text,
 and decoded by Viterbi.  The field is trained on windows around known secrets and
 around other tokens of a bounded sample of texts; the known secrets are the matches
 of three patterns.  A scan returns those matches and, besides, what the field
-tags elsewhere.
+tags outside them, also of a token that a match covers in part.
 """
 
 from __future__ import annotations
@@ -276,7 +276,8 @@ def fit(docs: DataFrame, *, texts: int = SAMPLE_TEXTS, windows: int = SAMPLE_WIN
         unpack("tags", np.int8).reshape(len(got), width).astype(np.int64), unpack("real", bool).reshape(len(got), width))
 
 
-_TRIM = set(b".,;:!?\"')]}([{")
+_TRIMMED = ".,;:!?\"')]}([{"
+_TRIM = set(_TRIMMED.encode())
 
 
 def _text_spans(batch, model: ConditionalField):
@@ -304,12 +305,25 @@ def _text_spans(batch, model: ConditionalField):
                 while hi - lo > 1 and data[lo] in _TRIM:
                     lo += 1
                 lo, hi = int(lead[lo] - starts[k]), int(lead[hi] - starts[k])
-                if all(e <= lo or s >= hi for s, _, e in found.get(k, ())):
-                    found.setdefault(k, []).append((lo, 3, hi))
+                text = texts[first + k].as_py()
+                rest = [(a, 3, z) for a, z in _outside(lo, hi, found.get(k, ())) if text[a:z].strip(_TRIMMED)]
+                if rest:
+                    found.setdefault(k, []).extend(rest)
         for k in sorted(found):
             yield first + int(k), sorted(found[k])
 
 
+def _outside(lo: int, hi: int, spans) -> list[tuple[int, int]]:
+    """The parts of lo..hi that none of ``spans`` (start, kind, end) covers."""
+    out = []
+    for start, _, end in sorted(spans):
+        if start < hi and end > lo:
+            if start > lo:
+                out.append((lo, start))
+            lo = max(lo, end)
+    return [*out, (lo, hi)] if lo < hi else out
+
+
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -319,7 +333,8 @@ def scan(docs: DataFrame, model: ConditionalField, *, id_col="doc_id", text_col=
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then
     in the order of KINDS, joined by commas; ``base_sha256`` digests those of the
-    patterns.  The field's spans (``crf``) overlap none of them.  A null or empty
+    patterns.  The field's spans (``crf``) are what it tags outside them, without
+    parts that are punctuation only, so they overlap none of them.  A null or empty
     text has no spans.  Ids may repeat or be null; other columns are not read; an
     empty table gives no rows.
     """
@@ -347,7 +362,7 @@ def scan(docs: DataFrame, model: ConditionalField, *, id_col="doc_id", text_col=
 
 def redact(docs: DataFrame, model: ConditionalField, *, text_col="text", mask: str = MASK) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mask``; overlapping
-    spans count as one.  Rows, other columns and null texts stay as they are."""
+    spans, and a field's span that touches another, count as one.  Rows, other columns and null texts stay as they are."""
     value = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
@@ -357,11 +372,11 @@ def redact(docs: DataFrame, model: ConditionalField, *, text_col="text", mask: s
             two = pa.RecordBatch.from_arrays([texts, texts], ["a", "b"])
             new = dict()
             for k, found in _text_spans(two, value.value):
-                text, out, at = texts[k].as_py(), [], 0
-                for start, _, end in found:
-                    if start >= at:
+                text, out, at, last = texts[k].as_py(), [], 0, None
+                for start, kind, end in found:
+                    if start > at or start == at and not (out and 3 in (kind, last)):
                         out += [text[at:start], mask]
-                    at = max(at, end)
+                    at, last = max(at, end), kind
                 new[k] = "".join(out) + text[at:]
             if new:
                 texts = pa.array([new.get(k, texts[k].as_py()) for k in range(len(texts))], pa.string())

@@ -4,6 +4,8 @@ import random
 import time
 
 import corpus_pipeline
+import numpy as np
+from bindscape.llm import secret_crf
 from bindscape.llm.html_content import Page
 from bindscape.llm.ngram_join import one_of_each_group
 
@@ -116,3 +118,41 @@ def test_unclosed_unseen_elements_hide_no_article():
         assert blocks(f"<body><div><{name}><div>no</div>no</{name}>yes</div>{article}</body>") == ["yes", "t", "text"], name
     assert blocks("<div><button>a<button>b</button>c</div>") == ["c"]
     assert blocks("<div><noscript><p>a</noscript>b</div>") == ["b"]
+
+
+def test_field_adds_what_the_patterns_cut_off(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    plain = lambda n: " ".join(rng.choice(["the", "log", "of", "house", "ran", "green", "over", "time"]) for _ in range(n))
+    tail = lambda: rng.choice(["", "", ",", ";", f"&{key(9)}"])
+    known = [(k, f"{plain(rng.randrange(9))} password={key(rng.randrange(8, 24))}{tail()} {plain(rng.randrange(9))}".strip()) for k in range(600)]
+    known += [(k, plain(30)) for k in range(600, 900)]
+    model = secret_crf.fit(spark.createDataFrame(known, "doc_id long, text string"))
+    texts = ["password=Tr0ub4dor&3xyzLonger", "the log password=Tr0ub4dor&3xyzLonger ran over", "over password=Tr0ub4dor3xyz of time",
+             "over password=Tr0ub4dor3xyz, of", "green time"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secret_crf.scan(docs, model).collect()}
+    assert found == {0: "assign:0:18,crf:18:29", 1: "assign:8:26,crf:26:37", 2: "assign:5:27", 3: "assign:5:27", 4: ""}
+    clean = {r.doc_id: r.text for r in secret_crf.redact(docs, model).collect()}
+    assert clean == {0: "[SECRET]", 1: "the log [SECRET] ran over", 2: "over [SECRET] of time", 3: "over [SECRET], of", 4: "green time"}
+
+
+def test_field_spans_around_matches():
+    import pyarrow as pa
+
+    class EveryOtherToken:
+        emissions = staticmethod(lambda rows: rows[0])
+        decode = staticmethod(lambda e, bounds: np.arange(len(e)) % 2)
+
+    texts = ["\u00e9 x_password=Qx7pLm2vRt\u00e9\u00e9w9. of (token=abcdefgh1,secret=abcdefgh2\")."]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)] * 2, ["a", "b"])
+    [(place, spans)] = secret_crf._text_spans(batch, EveryOtherToken)
+    cut = [(secret_crf.KINDS[kind], texts[0][a:z]) for a, kind, z in spans]
+    assert place == 0 and cut == [("crf", "x_"), ("assign", "password=Qx7pLm2vRt"), ("crf", "\u00e9\u00e9w9"),
+                                  ("assign", "token=abcdefgh1"), ("assign", "secret=abcdefgh2")]
+
+
+def test_parts_outside_spans():
+    assert secret_crf._outside(2, 20, [(4, 0, 6), (5, 1, 9), (15, 2, 25), (30, 0, 40)]) == [(2, 4), (9, 15)]
+    assert secret_crf._outside(2, 20, []) == [(2, 20)] and secret_crf._outside(2, 5, [(0, 0, 5)]) == []
