@@ -2,9 +2,16 @@
 
 In each pass every vector gets a word of random hyperplane bits; the vectors are
 put in the lexicographic order of these words, and each is compared with the
-next ``window`` of the order.  Verified pairs of all passes are united.  The
-number of passes follows from the number of vectors, so that a pair at the
-threshold is missed by all of them with the stated probability.
+next ``window`` of the order.  Verified pairs of all passes are united.
+
+A pass also meets every pair whose words begin with the same ``prefix_bits``: the
+vectors of such a cell stand together, so a cell of at most ``window`` + 1 lies in
+the windows, and the members of a larger one are compared with each other in
+blocks, unless the windows have joined them all.  So how densely vectors lie does
+not matter: the number of passes follows from the prefix, and a pair at the
+threshold, which shares each random bit with a known probability, is missed by all
+passes with the stated one.  Where the large cells would take more comparisons
+than all pairs, all pairs are compared, once, and none is missed.
 
 Passes only have to connect a group: afterwards the members of each group are
 compared with each other in blocks, and only counted, so the links of a vector
@@ -30,10 +37,14 @@ MISS = 1e-5
 SEED = 20240611
 
 
+def prefix_bits(n: int, window: int = WINDOW) -> int:
+    """First bits whose cells hold at most ``window`` of ``n`` vectors on average."""
+    return min(KEY_BITS, max(1, math.ceil(math.log2(max(n, 2) / window))))
+
+
 def number_of_passes(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold is missed with probability ``miss``."""
-    bits = max(1.0, math.log2(max(n, 2) / window) + 1)
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    """Passes in none of which a pair at the threshold shares the prefix with probability ``miss``."""
+    meet = (1 - math.acos(threshold) / math.pi) ** prefix_bits(n, window)
     return max(4, math.ceil(math.log(miss) / math.log1p(-meet)))
 
 
@@ -101,6 +112,55 @@ def _window_links(threshold: float, window: int):
     return run
 
 
+def _cell_links(threshold: float):
+    """Links inside each cell, between its parts ``lo`` and ``hi``, as one tree a component."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, cell in frame.groupby(["pass", "dim", "prefix"], sort=False):
+            x, uid, part = _unit(cell["embedding"].to_numpy()), cell["uid"].to_numpy(), cell["part"].to_numpy()
+            one, two = (np.flatnonzero(part == cell[c].iloc[0]) for c in ("lo", "hi"))
+            i, j = np.nonzero(x[one] @ x[two].T >= threshold)
+            root = _roots(len(x), one[i], two[j])
+            moved = np.flatnonzero(root != np.arange(len(x)))
+            out.append(pd.DataFrame({"a": uid[moved], "b": uid[root[moved]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+    return run
+
+
+def _in_blocks(rows: DataFrame, group: list[str], n: int, seed: int) -> DataFrame:
+    """``rows`` (uid, size of its group, ...) with ``bundle``, ``whole``, ``part``, ``lo`` and ``hi``: all pairs
+    of parts of each group; ``n`` is the number of rows, small groups share a bundle."""
+    bundles = max(1, -(-n // BLOCK_ROWS))
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / BLOCK_ROWS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(seed)), "parts"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    own = F.xxhash64(*group)
+    return rows.withColumns({
+        "bundle": F.when(F.col("parts") == 1, F.pmod(own, F.lit(bundles))).otherwise(own), "whole": F.col("parts") == 1,
+        "lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+
+
+def _links_of_full_cells(order: DataFrame, groups: DataFrame, distinct: DataFrame, n: int, threshold: float, window: int) -> DataFrame | None:
+    """Links of the cells that no window holds and that ``groups`` has not joined."""
+    cell = ["pass", "dim", "prefix"]
+    full = settle(order.groupBy(*cell).agg(F.count("*").alias("size")).where(F.col("size") > window + 1))
+    inside = order.join(full, cell).join(groups, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    mixed = inside.groupBy(*cell, "size").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select(*cell, "size")
+    mixed = settle(mixed)
+    total, compared = mixed.agg(F.sum("size"), F.sum(F.col("size").cast("double") * F.col("size"))).first()
+    if not total:
+        return None
+    if compared > float(n) * n:
+        lengths = distinct.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("size"))
+        rows = distinct.select("uid", F.size("embedding").alias("dim"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("prefix"))
+        rows, total = rows.join(F.broadcast(lengths), "dim"), n
+    else:
+        rows = order.select(*cell, "uid").join(mixed, cell)
+    rows = _in_blocks(rows, cell, total, 2).select("bundle", "whole", *cell, "uid", "part", "lo", "hi")
+    rows = rows.join(distinct.select("uid", "embedding"), "uid")
+    return rows.groupBy("bundle", "whole", "lo", "hi").applyInPandas(_cell_links(threshold), "a long, b long")
+
+
 def _count_links(threshold: float):
     """Links inside each group, between its parts ``lo`` and ``hi``."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +214,8 @@ def near_duplicate_vectors(
     keys = distinct.select("uid", "embedding").mapInArrow(_keys(passes), "pass int, dim int, key long, uid long")
     parts = max(spark.sparkContext.defaultParallelism, -(-n * passes // 1_000_000))
     order = keys.repartitionByRange(parts, "pass", "dim", "key", "uid").sortWithinPartitions("pass", "dim", "key", "uid")
-    order = settle(order.select("pass", "dim", "uid", F.monotonically_increasing_id().alias("place")))
+    prefix = F.shiftright("key", KEY_BITS - prefix_bits(n, window)).alias("prefix")
+    order = settle(order.select("pass", "dim", prefix, "uid", F.monotonically_increasing_id().alias("place")))
     cell = F.shiftright("place", 33)
     sizes = {r["cell"]: r["n"] for r in order.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
@@ -171,6 +232,10 @@ def near_duplicate_vectors(
     blocks = ranked.join(distinct.select("uid", "embedding"), "uid")
     links = blocks.groupBy("block").applyInPandas(_window_links(threshold, window), "a long, b long")
     groups = components(links).select(F.col("node").alias("uid"), "root")
+    more = _links_of_full_cells(order, groups, distinct, n, threshold, window)
+    if more is not None:
+        links = groups.select(F.col("uid").alias("a"), F.col("root").alias("b")).unionByName(more)
+        groups = components(links).select(F.col("node").alias("uid"), "root")
 
     members = settle(groups.join(distinct, "uid"))
     size = members.groupBy("root").agg(F.count("*").alias("size"))

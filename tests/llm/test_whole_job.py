@@ -5,9 +5,11 @@ import time
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from bindscape.llm import secret_crf
 from bindscape.llm.html_content import Page
 from bindscape.llm.ngram_join import one_of_each_group
+from bindscape.llm.sorted_projection import near_duplicate_vectors
 
 SF = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -156,3 +158,28 @@ def test_field_spans_around_matches():
 def test_parts_outside_spans():
     assert secret_crf._outside(2, 20, [(4, 0, 6), (5, 1, 9), (15, 2, 25), (30, 0, 40)]) == [(2, 4), (9, 15)]
     assert secret_crf._outside(2, 20, []) == [(2, 20)] and secret_crf._outside(2, 5, [(0, 0, 5)]) == []
+
+
+@pytest.mark.parametrize("n_dense, n_other", [(2500, 1500), (2500, 0)])
+def test_pairs_in_a_dense_region_of_vectors_that_do_not_link(spark, n_dense, n_other):
+    """Vectors at mutual cosines of about 0.88, a few pairs among them at 0.953."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    d = 128
+    around = rng.normal(size=(n_dense, d))
+    around[:, 0] = 0
+    around = unit(around)
+    for k in range(0, 120, 2):
+        turned = around[k + 1] - (around[k] @ around[k + 1]) * around[k]
+        around[k + 1] = 0.61 * around[k] + np.sqrt(1 - 0.61 ** 2) * unit(turned)
+    x = np.sqrt(0.12) * around
+    x[:, 0] += np.sqrt(0.88)
+    x = np.concatenate([x, unit(rng.normal(size=(n_other, d)))]).astype(np.float32)
+    y = unit(x.astype(float))
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near[:120, :120].sum() == 120
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = near_duplicate_vectors(table).toPandas().set_index("vec_id").loc[range(len(x))]
+    assert got["n_links"].tolist() == near.sum(axis=1).tolist()
+    assert got["component_id"].tolist() == [min([i, *np.flatnonzero(near[i])]) for i in range(len(x))]
