@@ -13,7 +13,9 @@ from bindscape.llm.bpe import token_digests
 from bindscape.llm.impact_search import exact_top_k
 from bindscape.llm.mixing import mix_counts
 from bindscape.llm.ngram_join import ngram_jaccard_components
+from bindscape.llm.periodic_runs import periodic_runs
 from bindscape.llm.sorted_projection import near_duplicate_vectors
+from bindscape.llm.spelling_variants import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +199,88 @@ def op10_sorted_projection(spark, sf):
     return near_duplicate_vectors(table(spark, sf, "embeddings"))
 
 
+def _crc32(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda acc, x:
+      list_reduce(list_prepend(xor(acc, x), range(8)), lambda y, b: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)))"""
+
+
+@query(f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS o,
+    {_crc32('doc_id::VARCHAR')} AS h
+  FROM documents
+), e AS (
+  SELECT *, len(o)::BIGINT AS n, h // 10 % greatest(len(o), 1) AS a FROM d
+), t AS (
+  SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+      list_transform(range(n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + h // 10 % 8)) END])
+    ELSE o END AS w
+  FROM e
+), p AS (
+  SELECT rid, n, unnest(w) AS w, unnest(range(n)) AS i FROM t
+), m AS (
+  SELECT y.rid, y.i, y.i - x.i AS q FROM p x JOIN p y ON x.rid = y.rid AND x.w = y.w AND x.i < y.i AND 4 * (y.i - x.i) <= y.n
+), s AS (
+  SELECT rid, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM m) GROUP BY rid, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT rid, start, length, min(q) AS period FROM s GROUP BY rid, start, length
+), b AS (
+  SELECT rid, count(*) AS n_runs, arg_max({{'s': start, 'l': length, 'p': period}}, (length, -start, -period)) AS top,
+    sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256
+  FROM r GROUP BY rid
+), g AS (
+  SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (
+  SELECT rid, sha256(string_agg(w, ' ' ORDER BY i)) AS collapsed_sha256 FROM p ANTI JOIN g USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256, n AS n_words
+FROM t LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)
+""")
+def op11_periodic_runs(spark, sf):
+    return periodic_runs(table(spark, sf, "documents"), plant=True)
+
+
+@query(f"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+), h AS (
+  SELECT run, {_crc32("doc_id::VARCHAR || ':' || run")} AS h FROM o WHERE length(run) >= 7
+), w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h
+), v AS (
+  SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), i AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v
+), m AS (
+  SELECT word, n, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) AS masked FROM i
+), l AS (
+  SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM i
+), e AS (
+  SELECT a.word, b.word AS near, b.n FROM m a JOIN m b ON a.masked = b.masked AND a.word <> b.word
+  UNION ALL SELECT l.word, v.word, v.n FROM l JOIN v ON l.less = v.word
+  UNION ALL SELECT v.word, l.word, l.n FROM l JOIN v ON l.less = v.word
+), b AS (
+  SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS best FROM e GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * v.n THEN best.near END AS form,
+    CASE WHEN -best.less >= 10 * v.n THEN (-best.less)::BIGINT END AS form_n
+  FROM v LEFT JOIN b USING (word)
+), r(word, last) AS (
+  SELECT word, word FROM f
+  UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.last = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, last AS root, n, n_near, form_n FROM f JOIN r USING (word)
+WHERE r.last NOT IN (SELECT word FROM f WHERE form IS NOT NULL)
+""")
+def op13_spelling_variants(spark, sf):
+    return spelling_variants(table(spark, sf, "documents"), plant=True)
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)

@@ -19,8 +19,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_KEYS = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_KEYS = _KEYS[_LOWER]
+_RAW_KEYS = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_KEYS = _RAW_KEYS[_LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS = np.ones(1, np.uint64)
@@ -69,11 +69,12 @@ class Words:
         #: words before each text; one more entry at the end
         self.bounds = np.searchsorted(self.start, offsets)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, fold: bool = True) -> np.ndarray:
+        """A hash of each word; without ``fold`` capitals differ from small letters."""
         n = len(self.data)
         up, down = _powers(n)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_KEYS[self.data] * up[:n], out=total[1:])
+        np.cumsum((_KEYS if fold else _RAW_KEYS)[self.data] * up[:n], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
 
     @property
