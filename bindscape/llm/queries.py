@@ -12,6 +12,7 @@ from bindscape.llm import chat_format, html_content, language_id, maxent_lm, sec
 from bindscape.llm.bpe import token_digests
 from bindscape.llm.impact_search import exact_top_k
 from bindscape.llm.mixing import mix_counts
+from bindscape.llm.multi_index_hashing import nearest
 from bindscape.llm.ngram_join import ngram_jaccard_components
 from bindscape.llm.periodic_runs import periodic_runs
 from bindscape.llm.sorted_projection import near_duplicate_vectors
@@ -244,6 +245,11 @@ def op11_periodic_runs(spark, sf):
     return periodic_runs(table(spark, sf, "documents"), plant=True)
 
 
+@query()
+def op12_multi_index_hashing(spark, sf):
+    return nearest(table(spark, sf, "embeddings"))
+
+
 @query(f"""
 WITH RECURSIVE o AS (
   SELECT doc_id, unnest(regexp_extract_all(
