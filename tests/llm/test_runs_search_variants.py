@@ -254,6 +254,7 @@ def test_variants_against_brute_force(spark):
             said.append(w.upper() if rng.random() < 0.05 else w)
         rows.append((k if k % 9 else None, ", ".join(said)))
     rows += [rows[1], (7, None), (8, ""), (9, "12 ß×÷ " + "a" * 5000), (10, "a" * 5000 + " " + "a" * 4999 + " " + "a" * 4999), (9, "a" * 5000)]
+    rows.append((20, "chainxxx " * 300 + "chainxxy " * 20 + "chainxyy " * 2))
     docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, n int, word string, run string")
     for plant in (False, True):
         got = sorted(tuple(r) for r in spelling_variants(docs, plant=plant).collect())
