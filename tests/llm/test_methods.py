@@ -79,7 +79,7 @@ def test_ngram_join_finds_all_links(spark, monkeypatch):
     """Near copies in one large group, and a passage that many texts share."""
     from bindscape.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "HOT_GROUPS", 2)  # many columns are hot, some rows short
+    monkeypatch.setattr(ngram_join, "WHOLE_ROW", 4)  # some rows are short at first
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
     passage = [rng.choice(words) for _ in range(60)]
