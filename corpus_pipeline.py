@@ -11,13 +11,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bindscape.functions.session import settle
+from bindscape.functions.session import broadcast_if_small, settle
 from bindscape.llm import language_id, secret_crf
 from bindscape.llm.bpe import token_digests
 from bindscape.llm.mixing import mix_documents
 from bindscape.llm.ngram_join import one_of_each_group
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIN_LANGUAGE_SCORE = 0.5  # share of a text's words, times the model's confidence
 #: Several stages cannot be expressed in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
@@ -27,15 +28,24 @@ def _with_lengths(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is found; those without letters go.  Where no
-    label teaches a language, all documents with letters stay."""
+    """Documents of a language that is known: texts without letters go, and texts in which the
+    model gives no language ``MIN_LANGUAGE_SCORE`` of the words.  A null ``lang`` becomes the
+    language found.  Where no label teaches a language, all documents with letters stay.
+
+    What a text is is decided by its words alone, so only a hash of it comes back from the
+    model, and equal texts are judged alike.
+    """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     model = language_id.fit(labelled)
+    docs = docs.select(*COLUMNS)
     if not model.names:
-        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    found = language_id.identify(docs, model, keep=COLUMNS[1:])
-    kept = found.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return kept.select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in COLUMNS[1:]])
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs.select(F.xxhash64("text").alias("key"), "text"), model, id_col="key")
+    found = settle(found.groupBy(F.col("doc_id").alias("key")).agg(F.first("lang_pred").alias("lang_pred"), F.first("score").alias("score")))
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    kept = broadcast_if_small(kept.select("key", "lang_pred"), 1 << 21)
+    rows = docs.where("text IS NOT NULL").withColumn("key", F.xxhash64("text")).join(kept, "key")
+    return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
