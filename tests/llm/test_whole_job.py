@@ -88,6 +88,27 @@ def test_language_stage_without_labels_drops_only_letterless_texts(spark):
     assert sorted(got, key=str) == sorted([(1, "some words", 10), (None, "\u6f22\u5b57", 2)], key=str)
 
 
+def test_language_stage_rejects_mixtures_and_fills_labels(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    by_lang = {}
+    for doc_id, text, lang, *_ in rows:
+        if text and lang:
+            by_lang.setdefault(lang, []).extend(w for w in text.split() if w.isalpha())
+    n = min(map(len, by_lang.values()))
+    mixture = " ".join(w for words in by_lang.values() for w in words[: min(n, 400)])
+    known = {lang: " ".join(words[:200]) for lang, words in by_lang.items()}
+    extra = [(9001, mixture, "en", "a", 1)] + [(9100 + k, x, None, "a", 2) for k, x in enumerate(known.values())] + [(9200, known["en"], "en", None, None)] * 2
+    got = stage(spark, "language_id", rows + extra).collect()
+    kept = {r.doc_id: r for r in got}
+    # by the rule: letters, and a language that holds at least half of the words
+    assert 9001 not in kept and len(got) == len([r for r in rows if r[1] and any(c.isalpha() for c in r[1])]) + len(known) + 2
+    assert [kept[9100 + k].lang for k in range(len(known))] == list(known)
+    assert all(kept[r[0]].lang == r[2] and kept[r[0]].text == r[1] for r in rows if r[0] in kept)
+    empty = spark.createDataFrame([], DOCUMENTS)
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        assert run(spark, empty, SF).count() == 0 and run(spark, empty, SF).columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
 def blocks(source):
     return [t for _, t in Page(source).blocks]
 
