@@ -1,21 +1,26 @@
 """Bin grids, interval overlap, interval merge and interval-set similarity.
 
-No operator forms interval pairs.  Overlap counts come from two running counts
+Overlap counts form no interval pairs.  They come from two running counts
 over positions: the intervals that meet [s, e) are those that start before e
-minus those that end at or before s.  Merging walks the coverage depth.
+minus those that end at or before s.  Merging walks the coverage depth.  Only the
+search of interval sets lists overlapping pairs, in one sweep over tiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindscape.functions.prefix import bucketed_prefix, position_bucket
-from bindscape.functions.session import settle, spread
+from bindscape.functions.session import broadcast_if_small, settle, spread
 
 KEY = ("chrom", "start", "stop")
 BLOCK_BINS = 20_000
+SWEEP_TILE = 1 << 16  # positions of a tile of the sweep
+SWEEP_ROWS = 1 << 18  # intervals of a side that a cell of a tile holds, about
 
 
 def tile(sizes: DataFrame, *, width: int = 200, step: int = 50) -> DataFrame:
@@ -258,6 +263,98 @@ def first_in_file(df: DataFrame, n: int, *, sample: str = "sample_id", rank: str
     return df.where(F.col(rank) <= n)
 
 
+def _meeting(d_start, d_stop, q_start, q_stop, tile_from, tile_to):
+    """Index pairs (d, q) of overlapping intervals whose later start lies in the tile.
+
+    A query that starts inside an interval is found by its start.  One that is still open where an
+    interval starts has begun at most its own length before: queries go by length class, so a
+    class's candidates are those that began within twice the least length of the class.
+    """
+    order = np.argsort(q_start, kind="stable")
+    first, stop = q_start[order], q_stop[order]
+    pairs = []
+
+    def add(d, low, high, keys, open_at_start):
+        many = np.maximum(high - low, 0)
+        i = np.repeat(d, many)
+        ends = np.cumsum(many)
+        j = keys[np.repeat(low, many) + np.arange(len(i)) - np.repeat(ends - many, many)]
+        if open_at_start:
+            still = stop[j] > d_start[i]
+            i, j = i[still], j[still]
+        pairs.append((i, order[j]))
+
+    every = np.arange(len(d_start))
+    low = np.searchsorted(first, np.maximum(d_start, tile_from - 1), side="right")
+    add(every, low, np.searchsorted(first, np.minimum(d_stop, tile_to)), np.arange(len(first)), False)
+    here = every[(d_start >= tile_from) & (d_start < tile_to)]
+    size_class = np.log2(np.maximum(stop - first, 1)).astype(np.int64)
+    for c in np.unique(size_class):
+        own = np.flatnonzero(size_class == c)
+        low = np.searchsorted(first[own], d_start[here] - (2 << c), side="right")
+        add(here, low, np.searchsorted(first[own], d_start[here], side="right"), own, True)
+    return tuple(np.concatenate(x) for x in zip(*pairs))
+
+
+def overlaps_between(
+    database: DataFrame, query: DataFrame, *, set_id: str = "set_id", query_id: str = "query_id",
+    tile: int = SWEEP_TILE, cell_rows: int = SWEEP_ROWS,
+) -> DataFrame:
+    """(set_id, query_id, n_overlap, n_hit) of the pairs of sets that meet: overlapping interval
+    pairs, and database intervals with any.
+
+    One sweep over both tables: every interval goes to the tiles it covers, each tile finds its
+    overlapping pairs once (in the tile of the later start) and sums them by interval and query
+    set.  The work is linear in the intervals, the tiles they cover and their overlaps.  A
+    tile with more than ``cell_rows`` intervals of a side is dealt to a grid of cells.
+    """
+    def tiled(df, key, side):
+        last = F.greatest(F.col("stop") - 1, F.col("start"))
+        rows = df.where("start < stop").select(
+            "chrom", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col(key).cast("string").alias("key"),
+            F.monotonically_increasing_id().alias("row"))
+        return settle(rows.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor(last / tile))))
+                      .withColumn("side", F.lit(side)))
+
+    db, asked = tiled(database, set_id, 0), tiled(query, query_id, 1)
+    count = lambda t, name: t.groupBy("chrom", "tile").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
+    # few tiles hold more than a cell: at most as many as there are cells full of rows
+    crowded = count(db, "d").join(count(asked, "q"), ["chrom", "tile"]).where("d > 1 OR q > 1")
+    crowded = broadcast_if_small(crowded)
+
+    def dealt(t, own, other):
+        t = t.join(crowded, ["chrom", "tile"], "left")
+        mine = F.pmod(F.xxhash64("row"), F.coalesce(own, F.lit(1))).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return t.withColumn("mine", mine).withColumn("theirs", theirs)
+
+    cells = dealt(db, F.col("d"), F.col("q")).withColumnsRenamed({"mine": "dc", "theirs": "qc"}).unionByName(
+        dealt(asked, F.col("q"), F.col("d")).withColumnsRenamed({"mine": "qc", "theirs": "dc"}))
+    set_kind, query_kind = database.schema[set_id].dataType.simpleString(), query.schema[query_id].dataType.simpleString()
+    cells = cells.select("chrom", "tile", "dc", "qc", "side", "start", "stop", "row", "key")
+
+    def found(key, row, asked, n):
+        return pd.DataFrame({
+            "key": pd.Series(key, dtype=object), "row": pd.Series(row, dtype="int64"),
+            "asked": pd.Series(asked, dtype=object), "n": pd.Series(n, dtype="int64")})
+
+    def sweep(key, frame):
+        d, q = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        if not len(d) or not len(q):
+            return found([], [], [], [])
+        at = int(key[1]) * tile
+        i, j = _meeting(*(x[c].to_numpy(np.int64) for x in (d, q) for c in ("start", "stop")), at, at + tile)
+        code, names = pd.factorize(q["key"], use_na_sentinel=False)
+        pair, n = np.unique(i * len(names) + code[j], return_counts=True)
+        i, code = pair // len(names), pair % len(names)
+        return found(d["key"].to_numpy(object)[i], d["row"].to_numpy()[i], names.to_numpy(object)[code], n)
+
+    met = cells.groupBy("chrom", "tile", "dc", "qc").applyInPandas(sweep, "key string, row long, asked string, n long")
+    per_row = met.groupBy("key", "asked", "row").agg(F.sum("n").alias("n"))
+    return per_row.groupBy(F.col("key").cast(set_kind).alias(set_id), F.col("asked").cast(query_kind).alias(query_id)).agg(
+        F.sum("n").alias("n_overlap"), F.count("*").alias("n_hit"))
+
+
 def rank_interval_sets(
     query: DataFrame,
     database: DataFrame,
@@ -269,29 +366,23 @@ def rank_interval_sets(
 ) -> DataFrame:
     """Overlap enrichment of every query against every labelled interval set.
 
-    Counted from the database side (each database interval asks how many query
-    peaks it meets), so the work is linear in the database.  The score is
+    Both tables are swept once for all queries together (``overlaps_between``).  The score is
     ``log2(odds) * overlaps``: odds compare overlaps with those expected from
     the covered bases; larger is better, ties go to the smaller set id.
     """
-    asked = database.select(set_id, *KEY).withColumn(
-        query_id, F.explode(F.array(*[F.lit(q) for q in query_ids]))
-    )
-    hits = count_overlaps(asked, query.select(query_id, *KEY), by=("chrom", query_id))
-    per_set = hits.groupBy(query_id, set_id).agg(
-        F.count(F.lit(1)).alias("n_set"),
-        F.sum("n_overlap").alias("n_overlap"),
-        F.sum((F.col("n_overlap") > 0).cast("bigint")).alias("n_hit"),
-        F.sum(F.col("stop") - F.col("start")).alias("set_bp"),
-    )
-    sizes = query.groupBy(query_id).agg(
-        F.count(F.lit(1)).alias("n_query"), F.sum(F.col("stop") - F.col("start")).alias("query_bp")
-    )
+    def sizes(df, key, n, bp):
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(n), F.sum(F.col("stop") - F.col("start")).alias(bp))
+
+    # one row for each set and query asked: the result's own size
+    per_set = sizes(database, set_id, "n_set", "set_bp").withColumn(query_id, F.explode(F.array(*[F.lit(q) for q in query_ids])))
+    pairs = per_set.join(sizes(query, query_id, "n_query", "query_bp"), query_id)
+    met = overlaps_between(database, query.where(F.col(query_id).isin(*query_ids)), set_id=set_id, query_id=query_id)
+    pairs = pairs.join(met, [set_id, query_id], "left").fillna(0, ["n_overlap", "n_hit"])
     length = genome if isinstance(genome, Column) else F.lit(genome)
     expected = (
         F.col("n_query") * F.col("set_bp") + F.col("n_set") * F.col("query_bp")
     ) / length
-    return per_set.join(sizes, query_id).select(
+    return pairs.select(
         query_id, set_id, "n_query", "n_set", "n_overlap", "n_hit",
         (F.col("n_overlap") * F.log2((F.col("n_overlap") + 1) / (expected + 1))).alias("combo_score"),
     )

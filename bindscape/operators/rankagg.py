@@ -214,12 +214,13 @@ def robust(ranks: DataFrame, *, group: Sequence[str] = ()) -> DataFrame:
     return _rank_items(scored, group)
 
 
-def round_robin(ranks: DataFrame, *, group: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
+def round_robin(ranks: DataFrame, *, group: Sequence[str] = ()) -> DataFrame:
     """Experts take turns (in expert order) to place their best item left.
 
     Turn t of the list belongs to expert t mod E.  Solved by proposals: each
     turn proposes down its expert's list, each item keeps its earliest turn,
-    and refused turns move on; the fixed point is the turn-by-turn result.
+    and refused turns move on; the fixed point is the turn-by-turn result.  Every
+    round moves some turn down its list, so the rounds end.
     """
     group = list(group)
     order = Window.partitionBy(*group).orderBy("expert")
@@ -229,7 +230,7 @@ def round_robin(ranks: DataFrame, *, group: Sequence[str] = (), max_rounds: int
     # turn of (expert e, own turn m) = m * E + e; own turn m cannot do better than its rank m + 1
     turn = (F.col("rank") - 1) * F.col("n_experts") + F.col("e")
     state = lists.select(*group, "e", turn.alias("turn"), F.col("rank").alias("at"), "n_items").where("turn < n_items")
-    for _ in range(max_rounds):
+    while True:
         asked = state.join(
             lists.select(*group, "e", F.col("rank").alias("at"), "item"), [*group, "e", "at"]
         )
@@ -241,7 +242,6 @@ def round_robin(ranks: DataFrame, *, group: Sequence[str] = (), max_rounds: int
         state = asked.select(
             *group, "e", "turn", (F.col("at") + (F.col("turn") != F.col("best")).cast("int")).alias("at"), "n_items"
         )
-    raise RuntimeError("round robin did not settle")
 
 
 def footrule_costs(ranks: DataFrame, *, group: Sequence[str] = ()) -> DataFrame:

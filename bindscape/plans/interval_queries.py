@@ -77,10 +77,10 @@ def consensus_labels_quality(spark, sf):
     return lb.consensus_labels(v.bins(spark, sf), v.summits(spark, sf), v.peaks(spark, sf), q=5)
 
 
-@query(sql(_labels("file_rank<=500", "file_rank<=500")))
+@query(sql(_labels("file_rank<=5000", "file_rank<=5000")))
 def consensus_labels_top(spark, sf):
     return lb.consensus_labels(
-        v.bins(spark, sf), v.summits(spark, sf, True), v.peaks(spark, sf, True), top_n=500
+        v.bins(spark, sf), v.summits(spark, sf, True), v.peaks(spark, sf, True), top_n=5000
     )
 
 
@@ -157,9 +157,9 @@ def majority_regions(spark, sf):
     return iv.keep_majority(iv.reproducible(regions, p, samples=SAMPLES))
 
 
-@query(sql("SELECT event_id, chrom, start, stop, sample_id, file_rank FROM peaks WHERE file_rank<=100"))
+@query(sql("SELECT event_id, chrom, start, stop, sample_id, file_rank FROM peaks WHERE file_rank<=10000"))
 def first_rows_of_file(spark, sf):
-    return iv.first_in_file(v.peaks(spark, sf, True), 100).select(
+    return iv.first_in_file(v.peaks(spark, sf, True), 10_000).select(
         "event_id", "chrom", "start", "stop", "sample_id", "file_rank"
     )
 
@@ -172,12 +172,12 @@ SETS = """SELECT q.query_id, q.set_id, s1.n_query, s2.n_set, q.n_overlap, q.n_hi
     JOIN (SELECT query_id, CAST(count(*) AS BIGINT) AS n_query, CAST(sum(stop-start) AS BIGINT) AS query_bp FROM q GROUP BY ALL) s1 ON q.query_id=s1.query_id
     JOIN (SELECT set_id, CAST(count(*) AS BIGINT) AS n_set, CAST(sum(stop-start) AS BIGINT) AS set_bp FROM db GROUP BY ALL) s2 ON q.set_id=s2.set_id
     CROSS JOIN (SELECT sum(length) AS genome FROM chrom_sizes)"""
-_Q = "SELECT sample_id AS query_id, event_id, chrom, start, stop FROM peaks WHERE file_rank<=300"
+_Q = "SELECT sample_id AS query_id, event_id, chrom, start, stop FROM peaks WHERE file_rank<=10000"
 _DB = "SELECT CAST(user_id%7 AS INTEGER) AS set_id, event_id, chrom, p AS start, p+1+cents//50 AS stop FROM ev"
 
 
 def _ranked_sets(spark, sf):
-    q = v.peaks(spark, sf, True).where("file_rank <= 300").withColumnRenamed("sample_id", "query_id")
+    q = v.peaks(spark, sf, True).where("file_rank <= 10000").withColumnRenamed("sample_id", "query_id")
     db = v.ev(spark, sf).select(
         (F.col("user_id") % 7).cast("int").alias("set_id"),
         "chrom",

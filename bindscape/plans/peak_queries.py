@@ -73,9 +73,9 @@ def significant_bins(spark, sf):
     return out.select("chrom", "start", "stop", "fdr", F.round("score", 6).alias("score"))
 
 
-@query(sql("SELECT chrom, start, stop, margin FROM margins ORDER BY margin DESC, chrom, start LIMIT 1000"))
+@query(sql("SELECT chrom, start, stop, margin FROM margins ORDER BY margin DESC, chrom, start LIMIT 100000"))
 def top_bins(spark, sf):
-    return pk.top_n(v.margins(spark, sf), 1000, score="margin")
+    return pk.top_n(v.margins(spark, sf), 100_000, score="margin")
 
 
 FLAGSHIP = dict(

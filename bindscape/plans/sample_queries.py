@@ -135,9 +135,9 @@ def sample_id_intersection(spark, sf):
     return v.sample_meta(spark, sf).where("quality > 0.5").select("sample_id").intersect(_loaded(spark, sf))
 
 
-@query(sql("SELECT DISTINCT chrom, start, stop FROM summits WHERE file_rank<=500"))
+@query(sql("SELECT DISTINCT chrom, start, stop FROM summits WHERE file_rank<=5000"))
 def pooled_summits_distinct(spark, sf):
-    return v.summits(spark, sf, True).where("file_rank <= 500").select("chrom", "start", "stop").distinct()
+    return v.summits(spark, sf, True).where("file_rank <= 5000").select("chrom", "start", "stop").distinct()
 
 
 @query(sql("SELECT a.chrom, a.start, a.stop, a.margin, b.n_overlap FROM margins a JOIN (SELECT g.chrom, g.start, count(h.event_id) AS n_overlap FROM grid g LEFT JOIN peak_hits h ON g.chrom=h.chrom AND g.start=h.bin_start GROUP BY ALL) b USING (chrom, start)"))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -116,6 +118,32 @@ def test_interval_sets(spark):
     assert iv.best_interval_set(ranked).first().set_id == 7
 
 
+def test_interval_set_sweep_against_brute_force(spark):
+    rng = random.Random(11)
+
+    def intervals(n, sets):
+        rows = []
+        for _ in range(n):
+            start = rng.randrange(3000) if rng.random() < 0.7 else rng.randrange(100)
+            rows.append((rng.choice(sets), rng.choice(["c", "d"]), start, start + rng.choice([0, 1, 2, 30, 200, 2500])))
+        return rows
+
+    for tile, cell_rows in ((1 << 16, 1 << 18), (128, 1 << 18), (500, 7)):
+        db, q = intervals(160, [1, 2, 3]), intervals(120, ["x", "y"])
+        want = {}
+        for s, c, a, b in db:
+            for k in "xy":
+                n = sum(1 for qs, qc, qa, qb in q if (qs, qc) == (k, c) and qa < b and a < qb and a < b and qa < qb)
+                if n:
+                    total, hit = want.get((s, k), (0, 0))
+                    want[s, k] = total + n, hit + 1
+        got = iv.overlaps_between(
+            spark.createDataFrame(db, "set_id int, " + S), spark.createDataFrame(q, "query_id string, " + S), tile=tile, cell_rows=cell_rows)
+        assert {(r.set_id, r.query_id): (r.n_overlap, r.n_hit) for r in got.collect()} == want
+    empty = spark.createDataFrame([], "set_id int, " + S)
+    assert iv.overlaps_between(empty, spark.createDataFrame(q, "query_id string, " + S)).count() == 0
+
+
 def test_reproducible(spark):
     bins, df = _label_inputs(spark, [("c", 0, 10, 1, 1.0), ("c", 5, 12, 2, 1.0), ("c", 50, 60, 1, 1.0)])
     regions = iv.merge_intervals(df)
