@@ -1,10 +1,9 @@
 """Boosted trees with a custom objective, scoring, and model studies.
 
-Each boosting round fits one MLlib regression tree to the Newton target
-``-gradient / hessian`` with weight ``weight * hessian``: its leaf means are
-the Newton leaf values.  MLlib bins features and builds histograms on the
-executors, so rows stay distributed.  Trees are read into small node arrays,
-which score rows batch-wise and can be stored as a table.
+Each boosting round grows one tree best leaf first (``trees.py``) on the gradients and
+hessians of the objective; local models of several clusters grow in the same passes.
+Rows stay distributed.  Trees are small node arrays, which score rows batch-wise and can
+be stored as a table.
 """
 
 from __future__ import annotations
@@ -17,15 +16,15 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bindscape.functions.hashing import stable_hash
 from bindscape.functions.prefix import hash_index
 from bindscape.functions.scalars import sigmoid
 from bindscape.functions.session import settle, spread
-from bindscape.operators import labels as lb, metrics as mt
+from bindscape.operators import labels as lb, metrics as mt, trees as tr
 from bindscape.operators.signal import C, join_features
+from bindscape.operators.trees import Tree
 
 Objective = Callable[[Column, Column], tuple[Column, Column]]
 
@@ -63,50 +62,7 @@ def imbalance_logistic(alpha: float = 5.0) -> Objective:
     return grad_hess
 
 
-# ---- trees -----------------------------------------------------------------
-
-@dataclass
-class Tree:
-    """Node arrays; ``feature`` is -1 at leaves, ``left``/``right`` are indices."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), dtype=np.int64)
-        rows = np.arange(len(x))
-        while True:
-            f = self.feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            go_left = x[rows, np.maximum(f, 0)] <= self.threshold[at]
-            at = np.where(inner, np.where(go_left, self.left[at], self.right[at]), at)
-
-
-def _read_tree(model) -> Tree:
-    nodes: list[list] = []
-
-    def walk(node) -> int:
-        me = len(nodes)
-        nodes.append([-1, 0.0, -1, -1, float(node.prediction())])
-        if node.subtreeDepth() > 0:
-            split = node.split()
-            nodes[me][0], nodes[me][1] = int(split.featureIndex()), float(split.threshold())
-            nodes[me][2] = walk(node.leftChild())
-            nodes[me][3] = walk(node.rightChild())
-        return me
-
-    walk(model._java_obj.rootNode())
-    cols = list(zip(*nodes))
-    return Tree(
-        np.array(cols[0], dtype=np.int32), np.array(cols[1]), np.array(cols[2], dtype=np.int32),
-        np.array(cols[3], dtype=np.int32), np.array(cols[4]),
-    )
-
+# ---- models -----------------------------------------------------------------
 
 @dataclass
 class Booster:
@@ -213,8 +169,21 @@ def average_precision_metric(df: DataFrame) -> dict[str, float]:
     return {r["set_name"]: float(r["auprc"]) for r in rows}
 
 
-def train_boosted(
+def _prior_shifts(rows: DataFrame) -> dict[int, float]:
+    """``prior_shift`` of the rows of every ``key``."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()
+    return {r["key"]: float(-np.log10(2 * r["n"] / r["pos"] - 1)) if r["pos"] else 0.0 for r in counts}
+
+
+def _by_key(values: Mapping[int, float]) -> Column:
+    """The value of a row's ``key``; keys are few."""
+    pairs = [F.lit(x) for k, v in sorted(values.items()) for x in (int(k), float(v))]
+    return F.element_at(F.create_map(*pairs), F.col("key"))
+
+
+def train_boosted_by(
     df: DataFrame,
+    key: str,
     *,
     features: str = "features",
     y: str = "y",
@@ -224,7 +193,8 @@ def train_boosted(
     objective: Objective | None = None,
     rounds: int = 200,
     learning_rate: float = 0.05,
-    depth: int = 6,
+    leaves: int = 63,
+    depth: int | None = None,
     max_bins: int = 255,
     min_rows: int = 20,
     patience: int | None = 50,
@@ -232,64 +202,107 @@ def train_boosted(
     on_round: Callable[[int, dict[str, float]], None] | None = None,
     settle_every: int = 10,
     metric_every: int = 1,
-    seed: int = 2019,
-) -> Booster:
-    """Boost trees on the rows with ``set_name`` = 'train'.
-
-    Other set names are validation sets: after every ``metric_every`` rounds, and
-    the last, their mean metric decides the best round, and training stops ``patience`` rounds after it.
-    ``depth`` 6 gives up to 64 leaves.  Rows of weight 0 are kept for counting
-    and metrics but do not fit trees.  Margins are written to the shared
-    folder every few rounds so that lineage stays short.
+    edges: list[np.ndarray] | None = None,
+) -> dict[int, Booster]:
+    """One model for the rows of each value of the integer column ``key``; the models grow in the
+    same passes, so jobs do not depend on their number.
+
+    As ``train_boosted``; every model has its own prior shift, best round and
+    stop.  Set names that a metric sees are ``key|set`` where keys are several.  Bins are
+    quantiles of all training rows unless ``edges`` are given.
     """
+    if not 2 <= max_bins <= 255:
+        raise ValueError("max_bins must be 2 to 255")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     start = F.col(init_margin).cast("double") if init_margin else F.lit(0.0)
+    if edges is None:
+        edges = tr.bin_edges(df.where(F.col(set_name) == "train"), features, max_bins)
+    n_features, n_bins = len(edges), max((len(e) for e in edges), default=0) + 1
     rows = settle(
         spread(df).select(
-            array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("x"),
+            F.col(key).cast("int").alias("key"), tr.bins_of(features, edges).alias("bins"),
             F.col(y).cast("double").alias("y"), w.alias("w"), F.col(set_name).alias("set_name"), start.alias("margin"),
         )
     )
+    train, valid = rows.where("set_name = 'train'"), "set_name <> 'train'"
+    shifts = _prior_shifts(train)
+    if not shifts:
+        raise ValueError("no rows to train on")
+    sets = [(r["key"], r["set_name"]) for r in rows.where(valid).select("key", "set_name").distinct().collect()]
+    keys = sorted(shifts)
     if objective is None:
-        objective = focal_isoform(beta=prior_shift(rows.where("set_name = 'train'")))
-    has_valid = rows.where("set_name <> 'train'").limit(1).count() > 0
-    booster = Booster(learning_rate)
-    best = -np.inf
+        objective = focal_isoform(beta=_by_key(shifts) if len(keys) > 1 else shifts[keys[0]])
+    boosters = {k: Booster(learning_rate) for k in keys}
+    best, active = dict.fromkeys(keys, -np.inf), list(keys)
     held: DataFrame | None = None
     for r in range(1, rounds + 1):
         g, h = objective(F.col("margin"), F.col("y"))
         h = F.greatest(h, F.lit(1e-16))
-        fit_rows = rows.where("set_name = 'train' AND w > 0").select("x", (-g / h).alias("t"), (F.col("w") * h).alias("tw"))
-        fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
-        tree = DecisionTreeRegressor(
-            featuresCol="x", labelCol="t", weightCol="tw", predictionCol="p", maxDepth=depth, maxBins=max_bins,
-            minInstancesPerNode=min_rows, seed=seed,
-        ).fit(fit_rows)
-        fit_rows.unpersist()
-        booster.trees.append(_read_tree(tree))
-        moved = tree.transform(rows).withColumn("margin", F.col("margin") + learning_rate * F.col("p")).drop("p")
+        fit = rows.where("set_name = 'train' AND w > 0").where(F.col("key").isin(active))
+        fit = fit.select("key", "bins", (F.col("w") * g).alias("g"), (F.col("w") * h).alias("h")).persist(StorageLevel.MEMORY_AND_DISK)
+        walks = tr.grow(fit, active, n_features=n_features, n_bins=n_bins, leaves=leaves, depth=depth, min_rows=min_rows)
+        fit.unpersist()
+        for k in active:
+            boosters[k].trees.append(tr.with_thresholds(walks[k], edges))
+        moved = rows.withColumn("margin", F.col("margin") + learning_rate * _step(walks, n_features))
         if r % settle_every == 0:
             rows, old, held = settle(moved), held, None
         else:
             rows, old = moved.persist(StorageLevel.MEMORY_AND_DISK), held
             held = rows
-        if has_valid and (r % metric_every == 0 or r == rounds):
-            values = metric(rows.where("set_name <> 'train'").select("set_name", "margin", "y"))
-            booster.history += [(r, s, v) for s, v in sorted(values.items())]
-            mean = float(np.mean(list(values.values())))
+        if sets and (r % metric_every == 0 or r == rounds):
+            named = F.concat_ws("|", "key", "set_name") if len(keys) > 1 else F.col("set_name")
+            judged = rows.where(valid).where(F.col("key").isin(active))
+            values = metric(judged.select(named.alias("set_name"), "margin", "y"))
             if on_round:
                 on_round(r, values)
-            if mean > best:
-                best, booster.best_round = mean, r
+            for k in active:
+                own = values if len(keys) == 1 else {n.split("|", 1)[1]: x for n, x in values.items() if n.split("|", 1)[0] == str(k)}
+                if not own:
+                    continue
+                boosters[k].history += [(r, s, x) for s, x in sorted(own.items())]
+                mean = float(np.mean(list(own.values())))
+                if mean > best[k]:
+                    best[k], boosters[k].best_round = mean, r
         if old is not None:
             old.unpersist()
-        if has_valid and patience is not None and r - booster.best_round >= patience:
+        judged_keys = {k for k, _ in sets} if len(keys) > 1 else set(keys if sets else [])
+        if patience is not None:
+            active = [k for k in active if k not in judged_keys or r - boosters[k].best_round < patience]
+        if not active:
             break
     if held is not None:
         held.unpersist()
-    if not has_valid:
-        booster.best_round = len(booster.trees)
-    return booster
+    for b in boosters.values():
+        b.best_round = b.best_round or len(b.trees)
+    return boosters
+
+
+def _step(walks: Mapping[int, tuple], n_features: int) -> Column:
+    """What the newest trees add to each row's margin."""
+    @F.pandas_udf("double")
+    def values(key: pd.Series, bins: pd.Series) -> pd.Series:
+        out, k = np.zeros(len(key)), key.to_numpy()
+        for one in np.unique(k):
+            if one in walks:
+                own = np.flatnonzero(k == one)
+                out[own] = walks[one][4][tr.leaf_of(walks[one], tr.unpacked(bins.iloc[own], n_features))]
+        return pd.Series(out)
+
+    return values("key", "bins")
+
+
+def train_boosted(df: DataFrame, **options) -> Booster:
+    """Boost trees on the rows with ``set_name`` = 'train'.
+
+    Other set names are validation sets: after every ``metric_every`` rounds, and
+    the last, their mean metric decides the best round, and training stops ``patience`` rounds after it.
+    Each tree takes the best split of any leaf until it has ``leaves`` of them; ``depth`` bounds its depth
+    where given.  Rows of weight 0 are kept for counting and metrics but do not fit trees.
+    Margins are written to the shared folder every few rounds so that lineage stays short.
+    The options are those of ``train_boosted_by``.
+    """
+    return next(iter(train_boosted_by(df.withColumn("__model", F.lit(0)), "__model", **options).values()))
 
 
 # ---- model studies ---------------------------------------------------------
@@ -364,16 +377,21 @@ def clustered_models(
     groups = KMeans(k=k, seed=seed, featuresCol="x", predictionCol="cluster").fit(every)
     train_c = settle(groups.transform(with_x(train)).drop("x"))
     test_c = settle(groups.transform(with_x(test)).drop("x"))
-    positives = {r["cluster"] for r in train_c.where("y = 1 AND set_name = 'train'").select("cluster").distinct().collect()}
-    parts = []
-    for c in range(k):
-        rows = test_c.where(F.col("cluster") == c)
-        if c in positives:
-            model = train_boosted(train_c.where(F.col("cluster") == c), features=features, **options)
-            parts.append(score(model, rows, features=features))
-        else:
-            parts.append(rows.withColumn("margin", F.lit(float(empty_margin))))
-    return lb.label_table(parts)
+    positives = [r["cluster"] for r in train_c.where("y = 1 AND set_name = 'train'").select("cluster").distinct().collect()]
+    if not positives:
+        return test_c.withColumn("margin", F.lit(float(empty_margin)))
+    models = train_boosted_by(train_c.where(F.col("cluster").isin(positives)), "cluster", features=features, **options)
+
+    @F.pandas_udf("double")
+    def margins(cluster: pd.Series, x: pd.Series) -> pd.Series:
+        out, c = np.full(len(x), float(empty_margin)), cluster.to_numpy()
+        for k in np.unique(c):
+            if k in models:
+                own = np.flatnonzero(c == k)
+                out[own] = models[k].margins(_matrix(x.iloc[own]))
+        return pd.Series(out)
+
+    return test_c.withColumn("margin", margins("cluster", F.col(features)))
 
 
 def stack_replicates(tensor: DataFrame, labels: DataFrame) -> DataFrame:
