@@ -2,12 +2,12 @@
 
 The words of each source, documents one after the other, are a stream cut into
 blocks of fixed length.  The mix is a row of slots, cut into output shards; a
-slot holds one block.  Targets give each source its number of slots.  A random
-permutation of all slots deals them to the shards: the source counts of the
-shards are then a multinomial draw under the condition that they add up to the
-targets (so a source misses its target by less than a block, not by chance).  A
-source's slots, in their order, go through a random permutation of its block
-indices, a new one for each pass over the source, and meet the blocks by index.
+slot holds one block.  Targets give each source its number of slots.  Source counts of
+each shard are drawn: a random permutation of all slots deals them out, which is a multinomial
+draw under the condition that the counts add up to the targets (so a source misses its
+target by less than a block, not by chance).  Running sums of the counts number a
+source's slots through, shard after shard; these numbers go through a random permutation of its
+block indices, a new one for each pass over the source, and meet the blocks by index.
 
 Permutations are computed from the index alone (swap or not: in each round an
 index changes place with its mirror or stays, by one pseudorandom bit of the
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bindscape.functions.session import broadcast_if_small, settle, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]"
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 WEIGHTS = (5, 2, 1)
@@ -82,18 +82,38 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSE
     return s.select("source", "source_no", "source_size", "blocks", "target", "slots", "first_slot", "all_slots")
 
 
-def draw_slots(targets: DataFrame) -> DataFrame:
-    """(shard, slot, source_no, pass, block): what each slot of the mix holds."""
+def shard_counts(targets: DataFrame) -> DataFrame:
+    """(shard, source_no, n): the draw of how many slots of a shard each source gets.
+
+    All slots are dealt out at random, which gives the counts of a multinomial draw under the
+    condition that they add up to the targets' slots.
+    """
     chunks = targets.where("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")))
     each = F.expr(f"explode(sequence(chunk * {SLOT_CHUNK}, least((chunk + 1) * {SLOT_CHUNK}, slots) - 1))")
-    slots = spread(chunks).select("source_no", "blocks", "first_slot", "all_slots", each.alias("i"))
-    slots = slots.withColumn("place", permuted("first_slot + i", "all_slots", "0"))
+    slots = spread(chunks).select("source_no", "first_slot", "all_slots", each.alias("i"))
+    place = permuted("first_slot + i", "all_slots", "0")
+    return slots.select((F.floor(place / SHARD_SLOTS)).cast("long").alias("shard"), "source_no").groupBy("shard", "source_no").agg(F.count("*").alias("n"))
+
+
+def draw_slots(targets: DataFrame) -> DataFrame:
+    """(shard, slot, source_no, pass, block): what each slot of the mix holds.
+
+    A source's slots are numbered through, shard after shard by the drawn counts; the number gives the
+    pass and, by a permutation of the source's blocks, the block.
+    """
+    counts = settle(shard_counts(targets))
+    upto = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard").orderBy("source_no")
+    ranges = counts.select(
+        "shard", "source_no", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"),
+        (F.sum("n").over(inside) - F.col("n")).alias("ahead"), F.sum("n").over(Window.partitionBy("shard")).alias("width"))
+    ranges = ranges.join(broadcast_if_small(targets.select("source_no", "blocks")), "source_no")
+    slots = ranges.select("shard", "source_no", "first", "ahead", "width", "blocks", F.explode(F.expr("sequence(0L, n - 1)")).alias("k"))
+    slots = spread(slots).withColumn("i", F.col("first") + F.col("k"))
+    slots = slots.withColumn("slot", permuted("ahead + k", "width", "shard + 1"))
     slots = slots.withColumn("pass", F.expr("i div blocks"))
     slots = slots.withColumn("block", permuted("i % blocks", "blocks", f"source_no * {MAX_PASSES + 1} + pass + 1"))
-    return slots.select(
-        F.expr(f"place div {SHARD_SLOTS}").alias("shard"), F.expr(f"place % {SHARD_SLOTS}").alias("slot"),
-        "source_no", "pass", "block",
-    )
+    return slots.select("shard", "slot", "source_no", "pass", "block")
 
 
 def _indexed(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +169,8 @@ def mix_counts(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col=
     ``taken``.  Other columns are not read.  An empty table gives no rows.
     """
     rows, targets = _indexed(_sized(docs, id_col, text_col, source_col, []), [])
-    taken = _pieces(rows, targets).groupBy("source_no", "row").agg(F.sum("n_words").alias("words"))
+    taken = _pieces(rows, targets).groupBy("shard", "source_no", "row").agg(F.sum("n_words").alias("words"))
+    taken = taken.groupBy("source_no", "row").agg(F.sum("words").alias("words"))
     sources = broadcast_if_small(targets.select("source_no", "source_size", "target"))
     return rows.join(taken, ["source_no", "row"], "left").join(sources, "source_no").select(
         "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
@@ -164,18 +185,27 @@ def mixed_shards(docs: DataFrame, *, id_col="doc_id", text_col="text", source_co
 
 
 def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """Rows of ``docs`` that the mix takes words of; the text becomes the words
-    taken, pass by pass, joined by one space.  Other columns stay; none may be named
-    ``mix_key`` or ``mix_pieces``."""
-    base = settle(docs.withColumn("mix_key", F.monotonically_increasing_id()))
-    rows, targets = _indexed(_sized(base, id_col, text_col, source_col, ["mix_key"]), ["kept_mix_key"])
-    taken = _pieces(rows, targets).join(rows.select("source_no", "row", "kept_mix_key"), ["source_no", "row"])
-    taken = taken.groupBy(F.col("kept_mix_key").alias("mix_key")).agg(
-        F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias("mix_pieces"))
+    """Rows of ``docs`` that the mix takes words of; the text becomes the words taken, each with
+    the white space behind it, so what is taken as a whole stays as it is.  What a further
+    pass over the source takes follows on a line of its own.  Other columns stay."""
+    key, pieces = (_unused(name, docs.columns) for name in ("mix_key", "mix_pieces"))
+    base = settle(docs.withColumn(key, F.monotonically_increasing_id()))
+    rows, targets = _indexed(_sized(base, id_col, text_col, source_col, [key]), [f"kept_{key}"])
+    taken = _pieces(rows, targets).join(rows.select("source_no", "row", f"kept_{key}"), ["source_no", "row"])
+    taken = taken.groupBy(F.col(f"kept_{key}").alias(key)).agg(
+        F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias(pieces))
     # only the pieces, never the texts, went through the sorting above
-    out = base.join(taken, "mix_key")
-    words = F.filter(F.split(F.col(text_col), GAP), lambda w: w != "")
-    piece = lambda w, p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), " ")
+    out = base.join(taken, key)
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD}{SPACES}*)"))
+    line = lambda i: F.when((i > 0) & (F.element_at(pieces, i + 1)["pass"] != F.element_at(pieces, F.greatest(i, F.lit(1)))["pass"]), "\n").otherwise("")
+    piece = lambda w, p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), "")
     # the words are bound once, as the only element of an array, and not split again for each piece
-    text = F.transform(F.array(words), lambda w: F.array_join(F.transform("mix_pieces", lambda p: piece(w, p)), " "))
+    text = F.transform(F.array(words), lambda w: F.array_join(F.transform(pieces, lambda p, i: F.concat(line(i), piece(w, p))), ""))
     return out.withColumn(text_col, F.element_at(text, 1)).select(*docs.columns)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

@@ -16,7 +16,8 @@ from bindscape.llm import html_content, language_id, maxent_lm, secret_crf
 from bindscape.llm.bpe import decode_documents, encode_documents, token_digests
 from bindscape.llm.graph import components
 from bindscape.llm.impact_search import exact_top_k, shard_top_k
-from bindscape.llm.mixing import mix_counts
+from bindscape.llm import mixing
+from bindscape.llm.mixing import mix_counts, mix_documents
 from bindscape.llm.ngram_join import ngram_jaccard_components
 from bindscape.llm.sorted_projection import near_duplicate_vectors
 from bindscape.llm.words import Words, text_bytes
@@ -146,6 +147,20 @@ def test_maxent_is_a_distribution_and_beats_the_unigram(spark):
         assert abs(inside[tail] + 1 / 10 ** model.log_mass[tail] - 1) < 1e-9
 
 
+def test_mixing_keeps_the_characters_of_texts(spark):
+    rows = [(k, f"  a{k}\n\tb  c\u00e9 {k}\r\n" + "x  y\n" * (k % 90), "s", 1) for k in range(200)] + [(300, "one", "t", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key int")
+    got = mix_documents(docs)
+    assert got.columns == docs.columns
+    texts, whole = dict((r[0], r[1]) for r in rows), 0
+    for r in got.collect():
+        one = texts[r.doc_id].lstrip()
+        words = r.text.split()
+        assert set(words) <= set(one.split())
+        whole += one in r.text
+    assert whole > 100
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mix_counts(docs).toPandas()
@@ -154,6 +169,13 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     by = rows.merge(source, on="doc_id").groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"))
     assert (abs(by["taken"] - by["target"]) <= 0.05 * by["target"] + 64).all()
     assert abs(by["target"].sum() - by["size"].sum()) < 1
+    shards = mixing.mixed_shards(docs).toPandas()
+    taken = shards.groupby("doc_id")["n_words"].sum()
+    assert {r.doc_id: r.taken for r in rows.itertuples() if r.taken} == taken.to_dict()
+    # each slot of a shard holds one block of one source, and the shards but the last are full
+    slots = shards.drop_duplicates(["shard", "slot"]).groupby("shard")["slot"].agg(["count", "max"])
+    assert shards.groupby(["shard", "slot"])["source_no"].nunique().max() == 1
+    assert (slots["count"] == slots["max"] + 1).all() and (slots["count"][:-1] == mixing.SHARD_SLOTS).all()
     again = mix_counts(docs.repartition(5)).toPandas()
     assert rows.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
 
