@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 19  # texts are worked on in slices of about this size
+SLICE_BYTES = 1 << 18  # texts are worked on in slices of about this size
+BATCH_ROWS = 1000  # texts that a Python worker gets at a time
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,6 +99,15 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def bounded_batches(spark) -> None:
+    """From here on, the session sends Python workers at most ``BATCH_ROWS`` rows at a time:
+    rows of texts are large, and a worker holds a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of texts of about ``limit`` bytes; a
     longer text makes a run of its own."""
@@ -108,6 +118,7 @@ def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndar
         end = min(end, n)
         yield at, end, data[offsets[at]: offsets[end]], offsets[at: end + 1] - offsets[at]
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind=pa.int64()) -> pa.ListArray:
