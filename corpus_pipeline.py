@@ -16,6 +16,7 @@ from bindscape.llm import language_id, secret_crf
 from bindscape.llm.bpe import token_digests
 from bindscape.llm.mixing import mix_documents
 from bindscape.llm.ngram_join import one_of_each_group
+from bindscape.llm.words import bounded_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SCORE = 0.5  # share of a text's words, times the model's confidence
@@ -35,6 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     What a text is is decided by its words alone, so only a hash of it comes back from the
     model, and equal texts are judged alike.
     """
+    bounded_batches(spark)
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     model = language_id.fit(labelled)
     docs = docs.select(*COLUMNS)
@@ -43,7 +45,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = language_id.identify(docs.select(F.xxhash64("text").alias("key"), "text"), model, id_col="key")
     found = settle(found.groupBy(F.col("doc_id").alias("key")).agg(F.first("lang_pred").alias("lang_pred"), F.first("score").alias("score")))
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    kept = broadcast_if_small(kept.select("key", "lang_pred"), 1 << 21)
+    kept = broadcast_if_small(kept.select("key", "lang_pred"), 1 << 20)  # rows of some 80 bytes
     rows = docs.where("text IS NOT NULL").withColumn("key", F.xxhash64("text")).join(kept, "key")
     return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -56,6 +58,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret of their texts masked."""
+    bounded_batches(spark)
     return _with_lengths(secret_crf.redact(docs.select(*COLUMNS), secret_crf.fit(docs)))
 
 
@@ -66,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    bounded_batches(spark)
     return token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
