@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # folders of applications in local mode, by application id
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names; in local mode, where one machine does
     all the work, a temp folder if it names none."""
@@ -15,21 +18,32 @@ def shared_dir(spark: SparkSession) -> str:
     if configured is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="bindscape-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        application = spark.sparkContext.applicationId
+        configured = _LOCAL_DIRS.get(application) or _LOCAL_DIRS.setdefault(application, tempfile.mkdtemp(prefix="bindscape-"))
     return configured
 
 
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and read it back.  The shuffle files of the write go with its end
+    instead of staying until the driver collects garbage: from here on the table is read."""
+    spark = df.sparkSession
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     What produced it runs once, several branches can read it, a lost executor
     re-reads files, and the planner knows its true size.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "settled")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, scratch_path(df.sparkSession, "settled"))
 
 
 def broadcast_if_small(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:
