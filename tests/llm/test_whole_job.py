@@ -82,6 +82,15 @@ def test_of_a_repeated_id_the_unique_text_stays(spark):
         [(1, words("a")), (2, words("b")), (3, words("c")), (None, words("d")), (None, words("e"))], key=str)
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["row_key", "need", "Need_Key", "copied", "grp", "sid", "doc_id"]
+    rows = [(k, words(t), *[f"{c}{k}" for c in names]) for k, t in [(3, "a"), (2, "a"), (2, "a"), (4, "b")]]
+    docs = spark.createDataFrame(rows, "page long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = one_of_each_group(docs, id_col="page")
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted({rows[1], rows[3]})
+
+
 def test_language_stage_without_labels_drops_only_letterless_texts(spark):
     rows = [(1, "some words", None, "a", 10), (None, "\u6f22\u5b57", None, "a", 2), (2, "12 !", None, "a", 4), (3, None, None, "a", None), (4, "", None, None, 0)]
     got = [(r.doc_id, r.text, r.n_chars) for r in stage(spark, "language_id", rows).collect()]
