@@ -190,34 +190,44 @@ def column_correlations(df: DataFrame, n_features: int, *, features: str = "feat
 
 
 def gram_matrix(df: DataFrame, n_features: int, *, features: str = "features", by: str | None = None) -> DataFrame:
-    """``(by, a, b, n, sx, sy, sxy)`` sums over all rows, about the column means."""
-    means = df.agg(F.array(*[F.avg(F.get(features, F.lit(i))) for i in range(n_features)])).first()[0]
-    centre = np.array(means, dtype=float)
+    """``(by, a, b, n, sx, sy, sxy)`` sums over all rows, about the column means.
+
+    The rows are read once: every task folds them into counts, means and products about its own
+    means, and these small tables are moved to the means of all rows when they are added up.
+    """
     key = [df.schema[by]] if by else []
     schema = T.StructType(
         key + [T.StructField(c, T.IntegerType()) for c in ("a", "b")]
         + [T.StructField("n", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("sx", "sy", "sxy")]
+        + [T.StructField(c, T.DoubleType()) for c in ("ma", "mb", "c")]
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for pdf in batches:
-            groups = pdf.groupby(by) if by else [(None, pdf)]
+            groups = pdf.groupby(by) if by else [(None, pdf)] if len(pdf) else []
             for k, part in groups:
-                x = np.stack(part[features].to_numpy()).astype(float) - centre
-                n, s, p = total.get(k, (0, 0.0, 0.0))
-                total[k] = (n + len(x), s + x.sum(0), p + x.T @ x)
+                x = np.stack(part[features].to_numpy()).astype(float)
+                m = x.mean(0)
+                x -= m
+                n, mean, c = total.get(k, (0, 0.0, 0.0))
+                gap, both = m - mean, n + len(x)
+                total[k] = (both, mean + gap * len(x) / both, c + x.T @ x + np.outer(gap, gap) * (n * len(x) / both))
         a, b = np.divmod(np.arange(n_features * n_features), n_features)
-        for k, (n, s, p) in total.items():
-            out = pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"), "n": n, "sx": s[a], "sy": s[b], "sxy": p.ravel()})
+        for k, (n, mean, c) in total.items():
+            out = pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"), "n": n, "ma": mean[a], "mb": mean[b], "c": c.ravel()})
             if by:
                 out.insert(0, by, k)
             yield out
 
     cols = ([by] if by else []) + [features]
-    parts = df.select(*cols).mapInPandas(fold, schema)
-    return parts.groupBy(*([by] if by else []), "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    parts = settle(df.select(*cols).mapInPandas(fold, schema))
+    mean = parts.where("a = b").groupBy("a").agg((F.sum(F.col("n") * F.col("ma")) / F.sum("n")).alias("mean"))
+    mean = broadcast_if_small(mean)
+    moved = parts.join(mean.withColumnRenamed("mean", "__x"), "a").join(mean.select(F.col("a").alias("b"), F.col("mean").alias("__y")), "b")
+    dx, dy, n = F.col("ma") - F.col("__x"), F.col("mb") - F.col("__y"), F.col("n")
+    return moved.groupBy(*([by] if by else []), "a", "b").agg(
+        F.sum("n").alias("n"), F.sum(n * dx).alias("sx"), F.sum(n * dy).alias("sy"), F.sum(F.col("c") + n * dx * dy).alias("sxy"))
 
 
 def array_quantile(values: Column, q: float | Column) -> Column:

@@ -2,22 +2,25 @@
 
 Sequences are cut into chunk rows that carry enough flanking bases for every
 bin they own, so scanning, windowing and top-k all happen inside one task and
-no score is ever shuffled.
+no score is ever shuffled.  A library of matrices is dealt into groups, and a
+task scans one chunk with one group at a time, so memory does not grow with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from bindscape.functions.prefix import bucketed_prefix, position_bucket, value_index
-from bindscape.functions.session import broadcast_if_small, rows_if_small, settle, spread
+from bindscape.functions.prefix import bucketed_prefix, join_values, position_bucket, value_index
+from bindscape.functions.session import broadcast_if_small, settle, spread
 from bindscape.operators.signal import offset_features
 
-MAX_PWM_ROWS = 1_000_000  # total matrix rows shipped to tasks
+MOTIF_GROUP = 32  # matrices of a work item
+BROADCAST_BYTES = 64 << 20  # of all matrices; a larger library is joined by group
 
 
 def encode(seq):
@@ -46,23 +49,46 @@ def pad_pwms(pwms: DataFrame) -> DataFrame:
     )
 
 
-def pwm_arrays(pwms: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Padded matrices as one (motif, length, 4) array; size-checked."""
-    rows = rows_if_small(pad_pwms(pwms), MAX_PWM_ROWS)
-    if rows is None:
-        raise ValueError("motif library too large to ship; scan it in parts")
-    names = sorted({r["motif"] for r in rows})
-    length = rows_if_small(pwms.groupBy("motif").count().agg(F.max("count")), 1)[0][0]
-    out = np.zeros((len(names), length, 4), dtype=np.float32)
-    at = {n: i for i, n in enumerate(names)}
-    for r in rows:
-        out[at[r["motif"]], r["pos"]] = (r["a"], r["c"], r["g"], r["t"])
-    return names, out
+def longest_matrix(pwms: DataFrame) -> int:
+    """Positions of the longest matrix; 1 without matrices."""
+    return pwms.groupBy("motif").count().agg(F.max("count")).first()[0] or 1
+
+
+def motif_groups(pwms: DataFrame, length: int, *, motifs: DataFrame | None = None, size: int = MOTIF_GROUP) -> DataFrame:
+    """``grp, names, weights``: padded matrices, ``size`` to a row in order of name;
+    ``weights`` is motif-major, then position, then base.  With ``motifs`` of these only,
+    padded like the whole library."""
+    padded = pad_pwms(pwms)
+    if motifs is not None:
+        padded = padded.join(broadcast_if_small(motifs.select("motif").distinct()), "motif", "left_semi")
+    cells = F.map_from_entries(F.collect_list(F.struct("pos", F.array(*[F.col(b).cast("float") for b in "acgt"]))))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), 4)
+    at = F.sequence(F.lit(0), F.lit(length - 1))
+    dense = settle(padded.groupBy("motif").agg(cells.alias("cells")).select(
+        "motif", F.flatten(F.transform(at, lambda p: F.coalesce(F.try_element_at("cells", p.cast("int")), zeros))).alias("weights")))
+    ranked = value_index(dense.select("motif"), [], "motif", [], name="r")
+    grouped = dense.join(ranked, "motif").groupBy(F.floor((F.col("r") - 1) / size).alias("grp"))
+    rows = grouped.agg(F.array_sort(F.collect_list(F.struct("motif", "weights"))).alias("m"))
+    return rows.select("grp", F.col("m.motif").alias("names"), F.flatten("m.weights").alias("weights"))
+
+
+def _work_items(chunks: DataFrame, groups: DataFrame, length: int) -> DataFrame:
+    """Every chunk with every group of matrices: what a task holds of the library is one group."""
+    groups = settle(groups)
+    n = groups.count()
+    if n * MOTIF_GROUP * length * 16 <= BROADCAST_BYTES:
+        groups = F.broadcast(groups)
+    return chunks.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n - 1, 0)).cast("bigint")))).join(groups, "grp")
 
 
 def chunk_sequences(seqs: DataFrame, *, size: int, before: int, after: int) -> DataFrame:
     """Rows ``chrom, length, chunk_start, seq, lead``: ``size`` bases owned per
-    row plus ``before``/``after`` flanking bases (``lead`` of them in front)."""
+    row plus ``before``/``after`` flanking bases (``lead`` of them in front).
+
+    ``seqs`` holds whole sequences (``chrom, seq``) or the lines of files
+    (:func:`bindscape.sources.readers.read_fasta_lines`)."""
+    if "line" in seqs.columns:
+        return _chunk_lines(seqs, size, before, after)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
     cut = seqs.select("chrom", F.length("seq").alias("length"), "seq", starts.alias("chunk_start"))
     lead = F.least(F.col("chunk_start"), F.lit(before))
@@ -73,6 +99,54 @@ def chunk_sequences(seqs: DataFrame, *, size: int, before: int, after: int) -> D
     return spread(pieces, "chrom", "chunk_start")
 
 
+def line_offsets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(numbered lines, records) of FASTA lines ``file, block, line_no, line``.
+
+    Record number and bases up to a line are running sums inside a file block plus the
+    carry of the blocks before, so no task sees more than a block.  Numbered lines:
+    ``file, record, line_no, body, bases, upto``; records: ``file, record, chrom, length,
+    origin, lines``.  Lines before the first header belong to no record.
+    """
+    head = F.col("line").startswith(">")
+    rows = lines.select(
+        "file", "block", "line_no", head.cast("bigint").alias("head"),
+        F.when(head, F.element_at(F.split(F.trim(F.expr("substring(line, 2)")), r"\s+"), 1)).alias("name"),
+        F.when(head, F.lit("")).otherwise(F.regexp_replace("line", r"\s", "")).alias("body"),
+    ).withColumn("bases", F.length("body").cast("bigint"))
+    numbered = bucketed_prefix(rows, ["file"], ["line_no"], F.col("block"), sums={"record": "head", "upto": "bases"})
+    numbered = settle(numbered.where("record > 0"))
+    records = numbered.groupBy("file", "record").agg(
+        F.max("name").alias("chrom"), F.sum("bases").alias("length"), F.max(F.when(F.col("head") == 1, F.col("upto"))).alias("origin"),
+        F.count(F.lit(1)).alias("lines"))
+    return numbered.select("file", "record", "line_no", "body", "bases", "upto"), settle(records)
+
+
+def _chunk_lines(lines: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """Chunk rows from lines: a line gives its piece to each chunk that it reaches."""
+    numbered, records = line_offsets(lines)
+    placed = join_values(
+        numbered.where("bases > 0"), records, ["file", "record"], ["chrom", "length", "origin"], weight="lines", spread=["line_no"])
+    placed = placed.withColumn("at", F.col("upto") - F.col("bases") - F.col("origin")).withColumn("end", F.col("at") + F.col("bases"))
+    first = F.greatest(F.floor((F.col("at") - size - after) / size) + 1, F.lit(0).cast("bigint"))
+    last = F.least(F.floor((F.col("end") - 1 + before) / size), F.floor((F.col("length") - 1) / size))
+    reached = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("chunk") * size - before, F.col("at"))
+    high = F.least(F.col("chunk") * size + size + after, F.col("end"))
+    pieces = reached.select(
+        "file", "record", "chunk", "chrom", "length", "at",
+        F.substring("body", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    keys = ["file", "record", "chunk"]
+    joined = spread(pieces, *keys).groupBy(*keys).agg(
+        F.first("chrom").alias("chrom"), F.first("length").alias("length"), F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    start = F.col("chunk") * size
+    out = joined.select(
+        "chrom", F.col("length").cast("int").alias("length"), start.cast("int").alias("chunk_start"),
+        F.least(start, F.lit(before)).cast("int").alias("lead"), F.array_join("p.piece", "").alias("seq"))
+    zero = F.lit(0)
+    empty = records.where("length = 0").select("chrom", zero.alias("length"), zero.alias("chunk_start"), zero.alias("lead"), F.lit("").alias("seq"))
+    return out.unionByName(empty)
+
+
 # fixed values: base letters in code order
 _CODE = np.zeros(256, dtype=np.int8)
 for _i, _b in enumerate("ACGT"):
@@ -132,8 +206,7 @@ class _Rows:
 def pwm_scan(seqs: DataFrame, pwms: DataFrame, *, strand: str = "+", chunk: int = 100_000) -> DataFrame:
     """``chrom, motif, pos, score`` for every position whose window ends inside
     the sequence; the window of ``pos`` starts half a matrix before it."""
-    names, mats = pwm_arrays(pwms)
-    length = mats.shape[1]
+    length = longest_matrix(pwms)
     flank = length // 2
     reverse = strand == "-"
     schema = T.StructType([
@@ -145,27 +218,47 @@ def pwm_scan(seqs: DataFrame, pwms: DataFrame, *, strand: str = "+", chunk: int
         out = _Rows(["chrom", "motif", "pos", "score"])
         for pdf in batches:
             for row in pdf.itertuples():
+                mats = row.weights.reshape(len(row.names), length, 4)
                 scores = strand_scores(_codes(row, flank, reverse), mats, reverse)
                 n = min(scores.shape[1], chunk, max(row.length - length + 1 - row.chunk_start, 0))
                 pos = row.chunk_start + np.arange(n)
-                for i, motif in enumerate(names):
+                for i, motif in enumerate(row.names):
                     yield from out.add(n, row.chrom, motif, pos, scores[i, :n].astype(float))
         yield from out.flush()
 
-    return chunk_sequences(seqs, size=chunk, before=flank, after=length).mapInPandas(scan, schema)
+    chunks = chunk_sequences(seqs, size=chunk, before=flank, after=length)
+    return _work_items(chunks, motif_groups(pwms, length), length).mapInPandas(scan, schema)
+
+
+def window_best(scores: np.ndarray, bins: int, width: int, step: int, count: int) -> np.ndarray:
+    """(motif, bin, count) largest scores of the windows of ``width`` at every ``step``.
+
+    Windows share the largest scores of the pieces they are made of.
+    """
+    piece = math.gcd(width, step)
+    if piece > count:
+        pieces = ((bins - 1) * step + width) // piece
+        scores = np.partition(scores[:, : pieces * piece].reshape(len(scores), pieces, piece), piece - count, axis=2)[:, :, piece - count :]
+        windows = np.lib.stride_tricks.sliding_window_view(scores, width // piece, axis=1)[:, :: step // piece]
+        windows = windows[:, :bins].reshape(len(scores), bins, -1)
+    else:
+        windows = np.lib.stride_tricks.sliding_window_view(scores, width, axis=1)[:, : (bins - 1) * step + 1 : step]
+    last = windows.shape[2]
+    return np.partition(windows, last - count, axis=2)[:, :, last - count :]
 
 
 def motif_top_scores(
-    seqs: DataFrame, pwms: DataFrame, *, width: int = 200, step: int = 50, per_strand: int = 3, k: int = 4, chunk_bins: int = 2000
+    seqs: DataFrame, pwms: DataFrame, *, motifs: DataFrame | None = None, width: int = 200, step: int = 50, per_strand: int = 3,
+    k: int = 4, chunk_bins: int = 2000,
 ) -> DataFrame:
     """Best ``k`` of the ``per_strand`` best scores of each strand in every bin.
 
+    With ``motifs`` only these are scanned, padded like the whole library.
     Returns ``motif, chrom, start, top``; a sequence has
     floor((L - width)/step) + 1 bins, and bins whose score window runs past
     the last score hold zeros.
     """
-    names, mats = pwm_arrays(pwms)
-    length = mats.shape[1]
+    length = longest_matrix(pwms)
     flank = length // 2
     size = chunk_bins * step
     schema = T.StructType([
@@ -173,11 +266,6 @@ def motif_top_scores(
         T.StructField("start", T.LongType()), T.StructField("top", T.ArrayType(T.FloatType())),
     ])
 
-    def best(scores: np.ndarray, bins: int, count: int) -> np.ndarray:
-        """(motif, bin, count) largest scores of each bin window."""
-        windows = np.lib.stride_tricks.sliding_window_view(scores, width, axis=1)[:, : (bins - 1) * step + 1 : step]
-        return np.partition(windows, width - count, axis=2)[:, :, width - count :]
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = _Rows(["motif", "chrom", "start", "top"])
         for pdf in batches:
@@ -190,21 +278,22 @@ def motif_top_scores(
                     continue
                 n_scores = row.length - length + 1 - row.chunk_start
                 scored = min(owned, (n_scores - width) // step + 1) if n_scores >= width else 0
-                top = np.zeros((len(names), owned, k), dtype=np.float32)
+                top = np.zeros((len(row.names), owned, k), dtype=np.float32)
+                mats = row.weights.reshape(len(row.names), length, 4)
                 if scored > 0:
                     both = [
-                        best(strand_scores(_codes(row, flank, rev), mats, rev), scored, per_strand)
+                        window_best(strand_scores(_codes(row, flank, rev), mats, rev), scored, width, step, per_strand)
                         for rev in (False, True)
                     ]
                     pool = np.sort(np.concatenate(both, axis=2), axis=2)[:, :, ::-1]
                     top[:, :scored] = pool[:, :, :k]
                 start = row.chunk_start + step * np.arange(owned)
-                for i, motif in enumerate(names):
+                for i, motif in enumerate(row.names):
                     yield from out.add(owned, motif, row.chrom, start, top[i])
         yield from out.flush()
 
     chunks = chunk_sequences(seqs, size=size, before=flank, after=width + length)
-    return chunks.mapInPandas(scan, schema)
+    return _work_items(chunks, motif_groups(pwms, length, motifs=motifs), length).mapInPandas(scan, schema)
 
 
 def motif_features(

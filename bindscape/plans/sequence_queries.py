@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindscape.functions.session import scratch_path
 from bindscape.operators import sequence as sq
 from bindscape.plans import views as v
 from bindscape.plans.registry import query
 from bindscape.plans.views import sql
+from bindscape.sources.readers import read_fasta_lines
+from bindscape.sources.writers import write_fasta
 
 # fixed values: weights of four example matrices (a, c, g, t per position), in quarters
 MOTIFS = {
@@ -60,7 +63,9 @@ def sequence_codes(spark, sf):
 @query(sql("""SELECT chrom, CAST(chunk_start AS INTEGER) AS chunk_start, substr(seq, CAST(greatest(chunk_start-10, 0)+1 AS BIGINT), CAST(least(chunk_start, 10)+520 AS BIGINT)) AS piece
     FROM (SELECT chrom, seq, unnest(range(0, greatest(length(seq), 1), 500)) AS chunk_start FROM sequences)"""))
 def sequence_chunks(spark, sf):
-    out = sq.chunk_sequences(v.sequences(spark, sf), size=500, before=10, after=20)
+    path = scratch_path(spark, "fasta")
+    write_fasta(v.sequences(spark, sf), path)
+    out = sq.chunk_sequences(read_fasta_lines(spark, path), size=500, before=10, after=20)
     return out.select("chrom", "chunk_start", F.col("seq").alias("piece"))
 
 
@@ -96,8 +101,8 @@ _OFF = "-7, -5, -3, -1, 0, 1, 3, 5, 7"
     CROSS JOIN (SELECT unnest([{_OFF}]) AS off, unnest(range(0, 9)) AS slot) o CROSS JOIN (SELECT unnest(['m6','m9']) AS motif, unnest([0,1]) AS mi) m
     JOIN tops u ON u.chrom=t.chrom AND u.motif=m.motif AND u.start=least(greatest(t.start+50*o.off, 0), l.last)""", **SCAN))
 def motif_feature_matrix(spark, sf):
-    top = sq.motif_top_scores(v.sequences(spark, sf), pwms(spark, sf))
     motifs = spark.createDataFrame([("m6",), ("m9",)], "motif string")
+    top = sq.motif_top_scores(v.sequences(spark, sf), pwms(spark, sf), motifs=motifs)
     out = sq.motif_features(top, motifs, block=16)
     cells = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda c: F.struct(c.cast("bigint").alias("cell"), F.slice("features", c * 4 + 1, 4).alias("v")))
     return out.select("chrom", "start", F.explode(cells).alias("c")).select(

@@ -118,6 +118,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.element_at(F.split(F.trim(head), r"\s+"), 1).alias("chrom"), body.alias("seq"))
 
 
+def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, line_no, line``: the lines of FASTA files; ``line_no`` grows along a
+    file block and blocks follow each other by their offset, so a sequence needs no row of its own."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+
+
 def read_tensor(spark: SparkSession, path: str, *, chrom: str | None = None, samples: Sequence | None = None) -> DataFrame:
     """Feature tensor; chromosome and sample choices prune partitions."""
     df = spark.read.parquet(path)

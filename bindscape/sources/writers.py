@@ -49,3 +49,9 @@ def write_ranks(df: DataFrame, path: str) -> None:
 def write_report(df: DataFrame, path: str) -> None:
     """Metric, confusion-region and curve tables as TSV with a header."""
     df.write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_fasta(seqs: DataFrame, path: str, *, width: int = 60) -> None:
+    """``chrom, seq`` as FASTA with lines of ``width`` bases."""
+    body = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})(?!$)", "$1\n")
+    seqs.select(F.concat(F.lit(">"), "chrom", F.lit("\n"), body)).write.text(path)
