@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bindscape.functions.session import broadcast_if_small
 from bindscape.llm.words import Words, slices
 
+PICK_PARTS = 64  # pieces a language is ranked in before its texts are chosen
 SAMPLE_TEXTS = 1500  # labelled texts of each language that the model is fitted on
 TABLE_BITS = 15
 SWITCH = 12.0  # log probability that a change of language costs
@@ -129,8 +130,11 @@ def fit(labelled: DataFrame, *, texts: int = SAMPLE_TEXTS) -> LanguageModel:
 
     ``labelled`` has (doc_id, text, lang), no nulls in the last two.
     """
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts)
+    order = [F.xxhash64(F.col("doc_id"), F.lit(1)), F.col("doc_id")]
+    ids = labelled.select("doc_id", "lang").withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(PICK_PARTS)))
+    # the first of each part hold the first of a language, and no task holds all its rows
+    for keys in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= texts)
     ids = broadcast_if_small(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct())
     same = labelled["doc_id"].eqNullSafe(ids["id"]) & (labelled["lang"] == ids["of"])
     sample = labelled.join(ids, same, "left_semi").select("lang", "text")
