@@ -4,7 +4,9 @@ Tokens (words between white space) are tagged begin, inside or outside of a
 secret from their shape, the words beside them and features of the whole text,
 and decoded by Viterbi.  The field is trained on windows around known secrets and
 around other tokens of a bounded sample of texts; the known secrets are the matches
-of three patterns.  A scan returns those matches and, besides, what the field
+of three patterns.  Around each of them the field is also taught with made values
+behind made names, and with tokens that only look odd, so that it goes by shape and
+finds secrets behind names that no pattern has.  A scan returns those matches and, besides, what the field
 tags outside them, also of a token that a match covers in part.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,11 @@ SAMPLE_TEXTS = 12000  # texts the field is trained on, at most
 SAMPLE_WINDOWS = 6000
 CONTEXT = 12  # tokens to each side of a window's middle
 TABLE_BITS = 16
-N_FEATURES = 6
-EPOCHS = 6
+N_FEATURES = 8
+EPOCHS = 16
+MISSED = 1.0  # log odds that a missed secret weighs more than a false one
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
+VARIANTS = 16  # made windows of each kind around a known secret
 MASK = "[SECRET]"
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -75,7 +80,8 @@ def _may_match(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Field:
     """Tokens of a run of texts and the table rows of their features."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, file: np.ndarray | None = None):
+        """``file``: features of the texts these were cut from; their own if None."""
         self.words = w = Words(data, offsets)
         n = len(w.start)
         h = w.hashes()
@@ -102,17 +108,43 @@ class Field:
         before = np.where(age > 0, h[np.maximum(left - 1, 0)], np.uint64(1))
         last = np.arange(n) == w.bounds[w.text + 1] - 1 if n else np.zeros(0, bool)
         after = np.where(last, np.uint64(2), h[np.minimum(left + 1, n - 1)]) if n else h
+        long, digit, change = self._longest_run(kind)
+        run = np.searchsorted([4, 8, 10, 12, 16, 20, 24, 32, 40, 64], long, side="right") * 64
+        some = np.maximum(long, 1)
+        run += np.minimum(digit * 8 // some, 7) * 8 + np.minimum(change * 8 // some, 7)
         first4 = np.zeros(n, np.int64)
         padded = np.concatenate([_LOWER[data], np.zeros(4, np.uint8)]).astype(np.int64)
         for k in range(4):
             first4 = first4 * 256 + np.where(size > k, padded[w.start + k], 0)
         counts = w.counts
         digits = np.bincount(w.text, weights=has[2], minlength=w.n_texts) / np.maximum(np.diff(offsets), 1)
-        file = np.minimum(np.log2(np.maximum(counts, 1)).astype(int) // 2, 7) * 4 + np.searchsorted([0.005, 0.02, 0.1], digits)
+        if file is None:
+            file = np.minimum(np.log2(np.maximum(counts, 1)).astype(int) // 2, 7) * 4 + np.searchsorted([0.005, 0.02, 0.1], digits)
+        self.file = file
         mix = lambda x, k: ((np.asarray(x).astype(np.uint64) + np.uint64(k * 7919)) * np.uint64(0x9E3779B97F4A7C15 | k << 1)) >> np.uint64(64 - TABLE_BITS)
         pre_shape = np.where(age > 0, np.roll(shape, 1), 0)
         self.rows = np.stack([mix(shape, 1), mix(before, 2), mix(after, 3), mix(first4 * 4096 + bucket, 4),
-                              mix(shape * 64 + file[w.text], 5), mix(shape * 100000 + pre_shape, 6)]).astype(np.int64)
+                              mix(shape * 64 + file[w.text], 5), mix(shape * 100000 + pre_shape, 6),
+                              mix(run, 7), mix(run // 64 * 8 + run % 8, 8)]).astype(np.int64)
+
+    def _longest_run(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length, digits and changes of class of each word's longest run of letters and digits."""
+        start, n = self.words.start, len(self.words.start)
+        best = np.zeros(n, np.int64)
+        if n:
+            inner = kind <= 2
+            first = inner.copy()
+            first[1:] &= ~inner[:-1]
+            first[start] = inner[start]
+            change = np.zeros(len(kind), bool)
+            change[1:] = inner[1:] & (kind[1:] != kind[:-1]) & ~first[1:]
+            at = np.flatnonzero(first)
+            if len(at):
+                size, digits, turns = (np.add.reduceat(x, at, dtype=np.int64) for x in (inner, kind == 2, change))
+                word = np.searchsorted(start, at, side="right") - 1
+                own = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                best[word[own]] = np.maximum.reduceat(size << 42 | digits << 21 | turns, own)
+        return best >> 42, best >> 21 & 0x1FFFFF, best & 0x1FFFFF
 
     def code_points(self) -> tuple[np.ndarray, np.ndarray]:
         """Code point place of every byte of the run, and of every text's start."""
@@ -215,10 +247,12 @@ def _train(rows: np.ndarray, tags: np.ndarray, real: np.ndarray) -> ConditionalF
             np.add.at(step, flat, np.tile(p.reshape(-1, 3), (r.shape[1], 1)))
             used = np.unique(flat)
             squares[used] += step[used] ** 2
-            table[used] -= 0.15 * step[used] / np.sqrt(squares[used]) + 1e-4 * table[used]
+            table[used] -= 0.3 * step[used] / np.sqrt(squares[used]) + 1e-4 * table[used]
     # without windows everything is outside
     if not n:
         table[:, OUTSIDE] = 1.0
+    else:
+        moves[OUTSIDE, BEGIN] += MISSED
     return ConditionalField(table.astype(np.float32), moves)
 
 
@@ -236,9 +270,82 @@ def _labels(f: Field, first: int, texts, flagged: np.ndarray) -> np.ndarray:
     return tags
 
 
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = (_DIGITS + "abcdef", _DIGITS + _LETTERS, _DIGITS + _LETTERS + _LETTERS.upper(),
+              _DIGITS + _LETTERS + _LETTERS.upper() + "+/", _DIGITS + _LETTERS + _LETTERS.upper() + "_-")
+
+
+def _drawn(rng, letters: str, low: int, high: int) -> str:
+    return "".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(low, high + 1)))
+
+
+def _made_secret(rng) -> tuple[list[str], int]:
+    """Tokens of a made secret and the place of the one that holds its value."""
+    name = ("_", "-", "")[rng.integers(3)].join(_drawn(rng, _LETTERS, 2, 7) for _ in range(rng.integers(1, 4)))
+    if rng.random() < 0.2:
+        name = name.upper()
+    value = ""
+    while not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        value = _drawn(rng, _ALPHABETS[rng.integers(len(_ALPHABETS))], 12, 48)
+    for _ in range(max(0, rng.integers(4) - 1)):
+        value = _drawn(rng, _LETTERS, 2, 4) + "_" + value
+    forms = ([f"{name}={value}"], [f"{name}='{value}'"], [f"{name}:", value], [name, "=", f'"{value}"'], [name, "=", value],
+             [f'"{name}":', f'"{value}",'], [name, value], [value])
+    form = forms[rng.integers(len(forms))]
+    return form, len(form) - 1
+
+
+def _made_clean(rng, words: list[str]) -> list[str]:
+    """Tokens that stand out among words and are no secret."""
+    one, two, three = (words[k] for k in rng.integers(0, len(words), 3))
+    name, n = _drawn(rng, _LETTERS, 2, 8), int(rng.integers(1, 10 ** int(rng.integers(1, 10))))
+    forms = ([f"{name}={one}"], [f"{name}:", one], [name, "=", f'"{one}"'], [name, "=", str(n)], [f"{name}:", f"{n:,}"], [f"{name}={n}"],
+             [f"https://www.{one}.com/{two}/{three}-{n}"], [f"http://{name}.org/{one}?{name}={n}"], [f"{one}.{n}@{name}.example.com"],
+             [f"20{n % 100:02d}-{n % 12 + 1:02d}-{n % 28 + 1:02d}T{n % 24:02d}:{n % 60:02d}:00Z"], [f"v{n % 9}.{n % 30}.{n % 7}"],
+             [f"+{n % 99}-{n:09d}"], [f"/{one}/{two}/{name}.py"], [f"{one.title()}{two.title()}{name.title()}"], [f"{one}_{two}_{name}"],
+             [f"{one}-{two}-{three}"], [f"{one}/{two}"], [f"{one.upper()}-{n}"], [f"#{n}"], [f"{one}{n % 1000}"], [f"{name}({one},", f"{two})"])
+    return forms[rng.integers(len(forms))]
+
+
+def _made_texts(text: str, start: int, end: int) -> tuple[list[str], list[list[int]], list[int], list[int]]:
+    """Texts with made tokens in place of text[start:end]: texts, their tags, places of the
+    middles, and whether they hold a secret."""
+    rng = np.random.default_rng(zlib.crc32(text[start:end].encode("utf-8", "replace")))
+    left, right = text[max(0, start - 400):start].split()[-CONTEXT:], text[end:end + 400].split()[:CONTEXT]
+    words = [w for w in left + right if w.isalpha()] or ["word"]
+    texts, tags, middles, kinds = [], [], [], []
+    for k in range(2 * VARIANTS):
+        form, at = _made_secret(rng) if k % 2 else (_made_clean(rng, words), 0)
+        tag = [OUTSIDE] * (len(left) + len(form) + len(right))
+        if k % 2:
+            tag[len(left) + at] = BEGIN
+        texts.append(" ".join(left + form + right))
+        tags.append(tag)
+        middles.append(len(left) + at)
+        kinds.append(k % 2)
+    return texts, tags, middles, kinds
+
+
+def _windows(f: Field, tags: np.ndarray, middle: np.ndarray, secret: np.ndarray):
+    """One row of the training table for each token of ``middle``."""
+    n = len(tags)
+    at = middle[:, None] + np.arange(-CONTEXT, CONTEXT + 1)
+    ok = (at >= 0) & (at < n)
+    at = np.clip(at, 0, n - 1)
+    ok &= f.words.text[at] == f.words.text[middle][:, None]
+    for m in range(len(middle)):
+        yield pa.RecordBatch.from_arrays([
+            pa.array([int(secret[m])], pa.int32()),
+            pa.array([int(f.rows[:, middle[m]].sum() * 2654435761 % 1000003)], pa.int64()),
+            pa.array([f.rows[:, at[m]].astype(np.int32).tobytes()]),
+            pa.array([np.where(ok[m], tags[at[m]], 0).astype(np.int8).tobytes()]), pa.array([ok[m].tobytes()])],
+            ["secret", "draw", "rows", "tags", "real"])
+
+
 def fit(docs: DataFrame, *, texts: int = SAMPLE_TEXTS, windows: int = SAMPLE_WINDOWS, id_col="doc_id", text_col="text") -> ConditionalField:
     """Train on at most ``windows`` windows of at most ``texts`` texts chosen by a
-    hash of the id; half of them at most hold a known secret."""
+    hash of the id; half of them at most hold a known or a made secret.  Tokens that
+    stand out by length and letters are preferred among the others."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(texts)
     ids = broadcast_if_small(ids.select(F.col("doc_id").alias("id")))
@@ -249,23 +356,25 @@ def fit(docs: DataFrame, *, texts: int = SAMPLE_TEXTS, windows: int = SAMPLE_WIN
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
                 f = Field(data, offsets)
-                tags = _labels(f, first, batch.column(1), _may_match(data, offsets))
+                flagged = _may_match(data, offsets)
+                tags = _labels(f, first, batch.column(1), flagged)
                 n = len(tags)
                 if not n:
                     continue
                 rng = np.random.default_rng(n)
-                middle = np.concatenate([np.flatnonzero(tags == BEGIN), np.flatnonzero(rng.random(n) < 0.002)])
-                at = middle[:, None] + np.arange(-CONTEXT, CONTEXT + 1)
-                ok = (at >= 0) & (at < n)
-                at = np.clip(at, 0, n - 1)
-                ok &= f.words.text[at] == f.words.text[middle][:, None]
-                for m in range(len(middle)):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([int(tags[middle[m]] == BEGIN)], pa.int32()),
-                        pa.array([int(f.rows[:, middle[m]].sum() * 2654435761 % 1000003)], pa.int64()),
-                        pa.array([f.rows[:, at[m]].astype(np.int32).tobytes()]),
-                        pa.array([np.where(ok[m], tags[at[m]], 0).astype(np.int8).tobytes()]), pa.array([ok[m].tobytes()])],
-                        ["secret", "draw", "rows", "tags", "real"])
+                odd = (tags == OUTSIDE) & (f.words.end - f.words.start >= 8) & (f.turns > 1)
+                middle = np.concatenate([np.flatnonzero(tags == BEGIN), np.flatnonzero(rng.random(n) < np.where(odd, 0.05, 0.002))])
+                yield from _windows(f, tags, middle, tags[middle] == BEGIN)
+                for k in np.flatnonzero(flagged):
+                    text = batch.column(1)[first + int(k)].as_py()
+                    for start, _, stop, _ in base_spans(text):
+                        made, marks, places, kinds = _made_texts(text, start, stop)
+                        raw = [x.encode("utf-8", "replace") for x in made]
+                        bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+                        g = Field(np.frombuffer(b"".join(raw), np.uint8), bounds, np.full(len(raw), f.file[k]))
+                        marks_of = np.concatenate([np.array(m, np.int64) for m in marks])
+                        if len(marks_of) == len(g.words.start):
+                            yield from _windows(g, marks_of, g.words.bounds[:-1] + np.array(places), np.array(kinds))
 
     made = sample.mapInArrow(cut, "secret int, draw long, rows binary, tags binary, real binary")
     half = [made.where(F.col("secret") == s).orderBy("draw", "rows", "tags").limit(windows // 2) for s in (0, 1)]
@@ -276,7 +385,7 @@ def fit(docs: DataFrame, *, texts: int = SAMPLE_TEXTS, windows: int = SAMPLE_WIN
         unpack("tags", np.int8).reshape(len(got), width).astype(np.int64), unpack("real", bool).reshape(len(got), width))
 
 
-_TRIMMED = ".,;:!?\"')]}([{"
+_TRIMMED = ".,;:!?\"')]}([{#`<>*|~"
 _TRIM = set(_TRIMMED.encode())
 
 
