@@ -105,3 +105,53 @@ def test_bins_and_missing_values(spark):
     same = df.select("features", F.lit(1).alias("y"), F.lit(1).alias("weight"), "set_name")
     model = md.train_boosted(same, rounds=2)
     assert len(model.trees) == 2 and all(len(t.value) == 1 for t in model.trees)
+
+
+def packed_rows(spark, n=3000):
+    x, g, h = data(n)
+    edges = [np.unique(np.quantile(c, np.arange(1, 16) / 16))[:-1] for c in x.T]
+    rows = spark.createDataFrame(
+        [(k % 2, "train", x[k].tolist(), float(g[k]), float(h[k]), 0.0) for k in range(n)],
+        "key int, set_name string, features array<double>, y double, w double, margin double").repartition(3)
+    return rows, x, edges, max(map(len, edges)) + 1
+
+
+def test_plans_do_not_hold_the_passes_before(spark, monkeypatch):
+    rows, _, edges, n_bins = packed_rows(spark)
+    blocks = tr.packed(rows, edges).selectExpr("key", "bins", "y AS g", "w AS h").cache()
+    sizes, write = [], tr.write_table
+
+    def measured(df, path):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, path)
+
+    monkeypatch.setattr(tr, "write_table", measured)
+    tr.grow(blocks, [0, 1], n_features=5, n_bins=n_bins, leaves=40, min_rows=5)
+    assert len(sizes) > 4 and max(sizes[1:]) <= 1.5 * sizes[1]
+
+
+def test_blocks_give_the_trees_of_single_rows(spark):
+    rows, x, edges, n_bins = packed_rows(spark)
+    out = tr.packed(rows, edges).collect()
+    assert {(r.key, r.set_name, r.fits) for r in out} == {(0, "train", True), (1, "train", True)}
+    assert sum(len(r.bins) for r in out) == 5 * len(x) and sum(len(r.y) for r in out) == len(x)
+    options = dict(n_features=5, n_bins=n_bins, leaves=9, min_rows=10)
+    single = rows.select("key", tr_bins(edges)("features").alias("bins"), F.col("y").alias("g"), F.col("w").alias("h"))
+    blocks = tr.packed(rows, edges).selectExpr("key", "bins", "y AS g", "w AS h")
+    one, many = (tr.grow(d, [0, 1], **options) for d in (single, blocks))
+    for k in (0, 1):
+        assert all(np.allclose(a, b) for a, b in zip(one[k], many[k]))
+
+
+def tr_bins(edges):
+    return F.udf(lambda v: bytearray(tr.binned(np.array([v], float), edges).tobytes()), "binary")
+
+
+def test_rows_without_weight_fit_no_tree(spark):
+    rows = rows_of(spark)
+    edges = tr.bin_edges(rows, "features", 31)
+    some = rows.withColumn("weight", (F.col("id") % 5 > 0).cast("int"))
+    options = dict(rounds=1, leaves=5, min_rows=10, edges=edges, objective=md.imbalance_logistic(1.0))
+    x = np.array([r.features for r in rows.orderBy("id").collect()])
+    one, other = md.train_boosted(some, **options), md.train_boosted(some.where("weight = 1"), **options)
+    assert np.allclose(one.margins(x), other.margins(x))
