@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from bindscape.functions.prefix import bucketed_prefix, join_values, position_bucket, value_index
 from bindscape.functions.session import broadcast_if_small, settle, spread
@@ -174,60 +175,73 @@ def _codes(pdf_row, flank: int, reverse: bool) -> np.ndarray:
     return np.concatenate([np.zeros(missing, dtype=np.int8), raw]).astype(np.intp)
 
 
+def _work_rows(batch: pa.RecordBatch) -> Iterator[SimpleNamespace]:
+    """The work items of an Arrow batch that have a sequence; one text is taken out at a time."""
+    for i in range(batch.num_rows):
+        if batch["length"][i].is_valid:
+            row = {c: batch[c][i].as_py() for c in ("chrom", "length", "chunk_start", "lead", "seq")}
+            yield SimpleNamespace(**row, names=batch["names"][i].as_py(), weights=batch["weights"][i].values.to_numpy(zero_copy_only=False))
+
+
 class _Rows:
-    """Gathers output pieces into frames of a reasonable size."""
+    """Gathers output pieces into Arrow batches of a reasonable size."""
 
-    def __init__(self, columns: list[str], limit: int = 100_000) -> None:
-        self.columns, self.limit, self.parts, self.n = columns, limit, [], 0
+    def __init__(self, schema: pa.Schema, limit: int = 100_000) -> None:
+        self.schema, self.limit, self.parts, self.n = schema, limit, [], 0
 
-    def add(self, n: int, *values) -> Iterator[pd.DataFrame]:
+    def add(self, n: int, *values) -> Iterator[pa.RecordBatch]:
         if n:
             self.parts.append((n, values))
             self.n += n
         if self.n >= self.limit:
             yield from self.flush()
 
-    def flush(self) -> Iterator[pd.DataFrame]:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
         sizes = [n for n, _ in self.parts]
-        data = {}
-        for i, c in enumerate(self.columns):
+        columns = []
+        for i, one in enumerate(self.schema):
             pieces = [v[i] for _, v in self.parts]
-            if isinstance(pieces[0], np.ndarray):
-                whole = np.concatenate(pieces)
-                data[c] = list(whole) if whole.ndim > 1 else whole
+            if not isinstance(pieces[0], np.ndarray):
+                columns.append(pa.array(pieces, one.type).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))))
+            elif pieces[0].ndim > 1:
+                ends = np.arange(self.n + 1, dtype=np.int32) * np.int32(pieces[0].shape[1])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).ravel())))
             else:
-                data[c] = np.repeat(np.array(pieces, dtype=object), sizes)
+                columns.append(pa.array(np.concatenate(pieces), one.type))
         self.parts, self.n = [], 0
-        yield pd.DataFrame(data)
+        yield pa.RecordBatch.from_arrays(columns, names=self.schema.names)
 
 
 def pwm_scan(seqs: DataFrame, pwms: DataFrame, *, strand: str = "+", chunk: int = 100_000) -> DataFrame:
     """``chrom, motif, pos, score`` for every position whose window ends inside
-    the sequence; the window of ``pos`` starts half a matrix before it."""
+    the sequence; the window of ``pos`` starts half a matrix before it.
+
+    A task gives the scores of a motif on a chunk as one array, which Spark makes into rows."""
     length = longest_matrix(pwms)
     flank = length // 2
     reverse = strand == "-"
-    schema = T.StructType([
-        T.StructField("chrom", T.StringType()), T.StructField("motif", T.StringType()),
-        T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType()),
-    ])
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = _Rows(["chrom", "motif", "pos", "score"])
-        for pdf in batches:
-            for row in pdf.itertuples():
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _work_rows(batch):
+                n = min(chunk, row.length - length + 1 - row.chunk_start)
+                if n <= 0:
+                    continue
                 mats = row.weights.reshape(len(row.names), length, 4)
-                scores = strand_scores(_codes(row, flank, reverse), mats, reverse)
-                n = min(scores.shape[1], chunk, max(row.length - length + 1 - row.chunk_start, 0))
-                pos = row.chunk_start + np.arange(n)
-                for i, motif in enumerate(row.names):
-                    yield from out.add(n, row.chrom, motif, pos, scores[i, :n].astype(float))
-        yield from out.flush()
+                scores = strand_scores(_codes(row, flank, reverse), mats, reverse)[:, :n]
+                n = scores.shape[1]
+                ends = pa.array(np.arange(len(row.names) + 1, dtype=np.int32) * np.int32(n))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row.chrom] * len(row.names), pa.string()), pa.array(row.names, pa.string()),
+                    pa.array([row.chunk_start] * len(row.names), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(scores.ravel())),
+                ], names=["chrom", "motif", "at", "scores"])
 
     chunks = chunk_sequences(seqs, size=chunk, before=flank, after=length)
-    return _work_items(chunks, motif_groups(pwms, length), length).mapInPandas(scan, schema)
+    scored = _work_items(chunks, motif_groups(pwms, length), length).mapInArrow(scan, "chrom string, motif string, at bigint, scores array<float>")
+    rows = scored.select("chrom", "motif", "at", F.posexplode("scores").alias("i", "s"))
+    return rows.select("chrom", "motif", (F.col("at") + F.col("i")).alias("pos"), F.col("s").cast("double").alias("score"))
 
 
 def window_best(scores: np.ndarray, bins: int, width: int, step: int, count: int) -> np.ndarray:
@@ -261,15 +275,12 @@ def motif_top_scores(
     length = longest_matrix(pwms)
     flank = length // 2
     size = chunk_bins * step
-    schema = T.StructType([
-        T.StructField("motif", T.StringType()), T.StructField("chrom", T.StringType()),
-        T.StructField("start", T.LongType()), T.StructField("top", T.ArrayType(T.FloatType())),
-    ])
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = _Rows(["motif", "chrom", "start", "top"])
-        for pdf in batches:
-            for row in pdf.itertuples():
+    schema = pa.schema([("motif", pa.string()), ("chrom", pa.string()), ("start", pa.int64()), ("top", pa.list_(pa.float32()))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(schema)
+        for batch in batches:
+            for row in _work_rows(batch):
                 if row.length < width:
                     continue
                 total = (row.length - width) // step + 1
@@ -293,7 +304,8 @@ def motif_top_scores(
         yield from out.flush()
 
     chunks = chunk_sequences(seqs, size=size, before=flank, after=width + length)
-    return _work_items(chunks, motif_groups(pwms, length, motifs=motifs), length).mapInPandas(scan, schema)
+    return _work_items(chunks, motif_groups(pwms, length, motifs=motifs), length).mapInArrow(
+        scan, "motif string, chrom string, start bigint, top array<float>")
 
 
 def motif_features(

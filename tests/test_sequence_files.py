@@ -119,3 +119,18 @@ def test_gram_matrix_far_from_zero(spark):
         assert r.n == len(part)
         assert np.allclose([r.sx, r.sy, r.sxy], [part[:, r.a].sum(), part[:, r.b].sum(), part[:, r.a] @ part[:, r.b]], rtol=1e-5, atol=1e-5)
     assert nm.gram_matrix(df.limit(0), 3).count() == 0
+
+
+def test_scan_gives_arrays_to_spark_and_skips_missing_sequences(spark):
+    df = spark.createDataFrame([("a", "ACGTNACGTA"), ("b", None), ("c", "AC"), (None, "ACGT")], "chrom string, seq string")
+    pwms = spark.createDataFrame(
+        [("m", i, 1.0 * i, 2.0, 3.0, 4.0) for i in range(3)] + [("n", 0, 1.0, 5.0, 0.0, 0.0)],
+        "motif string, pos int, a double, c double, g double, t double")
+    got = sq.pwm_scan(df, pwms, chunk=4)
+    assert "posexplode" in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.collect()
+    assert len({(r.chrom, r.motif, r.pos) for r in rows}) == len(rows) == 2 * 8 + 2 * 2
+    whole = {(r.chrom, r.motif, r.pos, r.score) for r in sq.pwm_scan(df, pwms).collect()}
+    assert whole == {tuple(r) for r in rows}
+    top = sq.motif_top_scores(df, pwms, width=4, step=2).collect()
+    assert {r.chrom for r in top} == {"a", None} and all(len(r.top) == 4 for r in top)
