@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bindscape.functions.session import batches_of
 from bindscape.operators import model as md, trees as tr
 
 
@@ -155,3 +156,30 @@ def test_rows_without_weight_fit_no_tree(spark):
     x = np.array([r.features for r in rows.orderBy("id").collect()])
     one, other = md.train_boosted(some, **options), md.train_boosted(some.where("weight = 1"), **options)
     assert np.allclose(one.margins(x), other.margins(x))
+
+
+def test_packing_bounds_batches_by_rows(spark, monkeypatch):
+    rows, seen, settle = rows_of(spark), [], md.settle
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxBytesPerBatch", "maxRecordsPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+
+    def noted(df):
+        seen.append([int(spark.conf.get(n)) for n in names])
+        return settle(df)
+
+    monkeypatch.setattr(md, "settle", noted)
+    md.train_boosted(rows, weight=None, rounds=1, leaves=3)
+    # Spark sizes a batch for every row unless its bytes have no bound
+    assert seen[0][0] == 2**31 - 1 and 0 < seen[0][1] <= int(before[1])
+    assert [spark.conf.get(n) for n in names] == before
+    with pytest.raises(ValueError), batches_of(spark, 1 << 20):
+        assert int(spark.conf.get(names[1])) == 16
+        raise ValueError
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_arrays_of_several_lengths_are_refused(spark):
+    rows = rows_of(spark)
+    mixed = rows.withColumn("features", F.when(F.col("id") % 2 == 0, F.col("features")).otherwise(F.slice("features", 1, 2)))
+    with pytest.raises(Exception, match="one length"):
+        md.train_boosted(mixed.repartitionByRange(2, F.col("id") % 2), weight=None, rounds=1, leaves=3)
