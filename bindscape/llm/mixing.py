@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bindscape.functions.session import broadcast_if_small, settle, spread
+from bindscape.functions.session import broadcast_if_small, settle, spread, step_tables
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]"
@@ -189,11 +189,14 @@ def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_c
     the white space behind it, so what is taken as a whole stays as it is.  What a further
     pass over the source takes follows on a line of its own.  Other columns stay."""
     key, pieces = (_unused(name, docs.columns) for name in ("mix_key", "mix_pieces"))
-    base = settle(docs.withColumn(key, F.monotonically_increasing_id()))
-    rows, targets = _indexed(_sized(base, id_col, text_col, source_col, [key]), [f"kept_{key}"])
-    taken = _pieces(rows, targets).join(rows.select("source_no", "row", f"kept_{key}"), ["source_no", "row"])
-    taken = taken.groupBy(F.col(f"kept_{key}").alias(key)).agg(
-        F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias(pieces))
+    with step_tables(docs.sparkSession) as step:
+        base = settle(docs.withColumn(key, F.monotonically_increasing_id()))
+        rows, targets = _indexed(_sized(base, id_col, text_col, source_col, [key]), [f"kept_{key}"])
+        taken = _pieces(rows, targets).join(rows.select("source_no", "row", f"kept_{key}"), ["source_no", "row"])
+        taken = settle(taken.groupBy(F.col(f"kept_{key}").alias(key)).agg(
+            F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias(pieces)))
+        # the shuffle files of the sorting and the tables that it read are gone before texts are shuffled
+        step.only(base, taken)
     # only the pieces, never the texts, went through the sorting above
     out = base.join(taken, key)
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD}{SPACES}*)"))

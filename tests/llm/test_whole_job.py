@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from bindscape.llm import secret_crf
 from bindscape.llm.html_content import Page
-from bindscape.llm.ngram_join import one_of_each_group
+from bindscape.llm.mixing import mix_documents
+from bindscape.llm.ngram_join import ngram_jaccard_components, one_of_each_group
 from bindscape.llm.sorted_projection import near_duplicate_vectors
 
 SF = "/root/testdata/sf0.001"
@@ -213,3 +214,21 @@ def test_pairs_in_a_dense_region_of_vectors_that_do_not_link(spark, n_dense, n_o
     got = near_duplicate_vectors(table).toPandas().set_index("vec_id").loc[range(len(x))]
     assert got["n_links"].tolist() == near.sum(axis=1).tolist()
     assert got["component_id"].tolist() == [min([i, *np.flatnonzero(near[i])]) for i in range(len(x))]
+
+
+def test_dead_tables_go_before_a_step_ends(spark):
+    from pathlib import Path
+
+    from bindscape.functions import session
+
+    texts = [" ".join(f"w{(7 * i + k) % 400}" for k in range(60 + i % 3)) for i in range(40)]
+    rows = [(i, texts[i % 35] + " x" * (i % 2), "en", f"s{i % 3}", 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    session.settle(docs.select("doc_id"))
+    root = Path(session._scratch_root(spark).removeprefix("file:"))
+    tables = lambda: {p.name for p in root.iterdir()}
+    for step, most in ((ngram_jaccard_components, 1), (one_of_each_group, 2), (mix_documents, 2)):
+        before = tables()
+        out = step(docs)
+        assert before <= tables() and len(tables() - before) <= most, step.__name__
+        assert out.count() == out.count() > 0
