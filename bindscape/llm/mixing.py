@@ -112,7 +112,8 @@ def draw_slots(targets: DataFrame) -> DataFrame:
     slots = spread(slots).withColumn("i", F.col("first") + F.col("k"))
     slots = slots.withColumn("slot", permuted("ahead + k", "width", "shard + 1"))
     slots = slots.withColumn("pass", F.expr("i div blocks"))
-    slots = slots.withColumn("block", permuted("i % blocks", "blocks", f"source_no * {MAX_PASSES + 1} + pass + 1"))
+    # never null: a join by the block would ask for that, and the planner would draw every block once more before the rows are spread
+    slots = slots.withColumn("block", F.coalesce(permuted("i % blocks", "blocks", f"source_no * {MAX_PASSES + 1} + pass + 1"), F.lit(0)))
     return slots.select("shard", "slot", "source_no", "pass", "block")
 
 

@@ -161,6 +161,13 @@ def test_mixing_keeps_the_characters_of_texts(spark):
     assert whole > 100
 
 
+def test_mixing_draws_a_block_once(spark):
+    rows = [(k, "a b c " * (k % 50), "st"[k % 2]) for k in range(100)]
+    sized = mixing._sized(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", [])
+    plan = mixing._pieces(*mixing._indexed(sized, []))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mix_counts(docs).toPandas()
