@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from bindscape.functions.session import settle
-from bindscape.llm.words import Words, list_array, slices
+from bindscape.llm.words import Words, list_array, ragged, slices
 
 TOP_WORDS = 15  # classes of one word
 TAIL_CLASSES = 32
 CLASSES = 1 + TOP_WORDS + TAIL_CLASSES
 TABLE_BITS = 16
 STEP_TOKENS = 4096
+SHORT_RUN = 8  # uses of a row of weights in a step that are added up one by one
+MOVED_ROWS = 512  # rows of weights moved at a time
 RATE = 1.0
 ROUNDS = 1
 FREQUENT = 1 << 17  # words whose counts travel with the tasks
@@ -84,8 +86,31 @@ class Tokens:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
+
+
+def _row_sums(x: np.ndarray, order: np.ndarray, at: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``x[order]`` that start at ``at`` and have ``uses`` rows.
+
+    Most runs are short: these are added up a row at a time over all runs, in the order of
+    ``np.add.reduceat``, whose cost is by run and column; it sums the few long ones.
+    """
+    sums = x[order[at]]
+    short = np.flatnonzero((uses > 1) & (uses <= SHORT_RUN))
+    if len(short):
+        rest, left = x[order[at[short] + 1]], np.arange(len(short))
+        for k in range(2, SHORT_RUN):
+            left = left[uses[short[left]] > k]
+            rest[left] += x[order[at[short[left]] + k]]
+        sums[short] += rest
+    long = np.flatnonzero(uses > SHORT_RUN)
+    if len(long):
+        ends = np.cumsum(uses[long])
+        sums[long] = np.add.reduceat(x[order[np.repeat(at[long], uses[long]) + ragged(uses[long])]], ends - uses[long], axis=0)
+    return sums
 
 
 class Weights:
@@ -101,19 +126,24 @@ class Weights:
 
     def step(self, f: np.ndarray, target: np.ndarray, taken: np.ndarray) -> None:
         """One gradient step; ``taken`` counts the steps of each row."""
-        grad = np.exp(self.log_classes(f))
+        grad = self.log_classes(f)
+        np.exp(grad, out=grad)
         grad[np.arange(len(target)), target] -= 1
         flat = f.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")  # radix sort
         rows = flat[order]
         at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         rows = rows[at]
-        sums = np.add.reduceat(grad[order % len(target)], at, axis=0)
-        uses = np.diff(np.r_[at, len(flat)])[:, None]
+        uses = np.diff(np.r_[at, len(flat)])
+        sums = _row_sums(grad, order % len(target), at, uses)
         taken[rows] += 1
         # a row that is used once moves less than one with a firm mean
-        rate = RATE / np.sqrt(taken[rows])[:, None] * np.sqrt(uses / (uses + 4.0))
-        self.table[rows] -= (rate * sums / uses).astype(np.float32)
+        rate = RATE / np.sqrt(taken[rows]) * np.sqrt(uses / (uses + 4.0))
+        for lo in range(0, len(rows), MOVED_ROWS):
+            some = slice(lo, lo + MOVED_ROWS)
+            move = sums[some] * rate[some, None]
+            move /= uses[some, None]
+            self.table[rows[some]] -= move.astype(np.float32)
 
 
 def _count_words(batches):
