@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from bindscape.llm import secret_crf
 from bindscape.llm.html_content import Page
+from bindscape.llm import ngram_join
 from bindscape.llm.mixing import mix_documents
 from bindscape.llm.ngram_join import ngram_jaccard_components, one_of_each_group
 from bindscape.llm.sorted_projection import near_duplicate_vectors
@@ -42,6 +43,19 @@ def first_of_each_group(texts):
     return {k for k in texts if find(k) == k}
 
 
+def test_columns_are_counted_in_slices_without_losing_a_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE_ENTRIES", 1)
+    cells = spark.createDataFrame([(s, s % 3, h) for s in range(6) for h in range(-9, 9) if (s + h) % 2], "sid long, grp long, h long")
+    shared = ngram_join._shared_columns(cells, ngram_join.SLICES)
+    files = {file.rsplit("/", 2)[1] for file in shared.inputFiles()}
+    assert len(files) == ngram_join.SLICES and sorted(r.h for r in shared.collect()) == list(range(-9, 9))
+    counts = ngram_join._count_of(cells, shared.where("h > 0"), ngram_join.SLICES).collect()
+    assert {r.sid: r["count"] for r in counts} == {s: sum((s + h) % 2 for h in range(1, 9)) for s in range(6)}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = sorted(r.doc_id for r in stage(spark, "ngram_jaccard_join", [(k, x, "en", "a", 0) for k, x in texts.items()]).collect())
+    assert got == sorted(first_of_each_group(texts))
+
+
 def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
     rng = random.Random(5)
     base = [f"w{k}" for k in range(50)]
