@@ -16,7 +16,7 @@ pair), so nothing is sorted and reruns agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from bindscape.functions.session import broadcast_if_small, settle, spread, step_tables
 
@@ -188,18 +188,22 @@ def mixed_shards(docs: DataFrame, *, id_col="doc_id", text_col="text", source_co
 def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """Rows of ``docs`` that the mix takes words of; the text becomes the words taken, each with
     the white space behind it, so what is taken as a whole stays as it is.  What a further
-    pass over the source takes follows on a line of its own.  Other columns stay."""
-    key, pieces = (_unused(name, docs.columns) for name in ("mix_key", "mix_pieces"))
+    pass over the source takes follows on a line of its own.  Other columns stay.
+
+    ``docs`` is read twice instead of being copied, so it must give the same rows both times,
+    in any order; settle it first where it may not."""
+    key, check, pieces = (_unused(name, docs.columns) for name in ("mix_key", "mix_check", "mix_pieces"))
+    keyed = _row_hashes(docs, (key, check))
     with step_tables(docs.sparkSession) as step:
-        base = settle(docs.withColumn(key, F.monotonically_increasing_id()))
-        rows, targets = _indexed(_sized(base, id_col, text_col, source_col, [key]), [f"kept_{key}"])
-        taken = _pieces(rows, targets).join(rows.select("source_no", "row", f"kept_{key}"), ["source_no", "row"])
-        taken = settle(taken.groupBy(F.col(f"kept_{key}").alias(key)).agg(
-            F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias(pieces)))
+        rows, targets = _indexed(_sized(keyed, id_col, text_col, source_col, [key, check]), [f"kept_{key}", f"kept_{check}"])
+        taken = _pieces(rows, targets).groupBy("source_no", "row").agg(
+            F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_words"))).alias(pieces))
+        names = [F.col(f"kept_{name}").alias(name) for name in (key, check)]
+        taken = settle(taken.join(rows.select("source_no", "row", *names), ["source_no", "row"]).select(key, check, pieces))
         # the shuffle files of the sorting and the tables that it read are gone before texts are shuffled
-        step.only(base, taken)
-    # only the pieces, never the texts, went through the sorting above
-    out = base.join(taken, key)
+        step.only(taken)
+    # only the pieces, never the texts, went through the sorting above; of equal rows, one gives the text to the pieces of all
+    out = keyed.dropDuplicates([key, check]).join(taken, [key, check])
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD}{SPACES}*)"))
     line = lambda i: F.when((i > 0) & (F.element_at(pieces, i + 1)["pass"] != F.element_at(pieces, F.greatest(i, F.lit(1)))["pass"]), "\n").otherwise("")
     piece = lambda w, p: F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), "")
@@ -208,6 +212,14 @@ def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_c
     return out.withColumn(text_col, F.element_at(text, 1)).select(*docs.columns)
 
 
+def _row_hashes(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` with 64-bit hashes of the whole row, which equal rows share."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)  # hashes skip nulls in them, or do not take them
+    values = [F.to_json(F.struct(f.name)) if isinstance(f.dataType, nested) else F.col(f.name) for f in docs.schema]
+    nulls = F.array(*[F.col(c).isNull() for c in docs.columns])
+    return docs.withColumns({name: F.xxhash64(F.lit(turn), nulls, *values) for turn, name in enumerate(names)})
+
+
 def _unused(name: str, columns: list[str]) -> str:
     """``name``, made longer until no column has it."""
     while name.lower() in {c.lower() for c in columns}:

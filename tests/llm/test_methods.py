@@ -181,6 +181,36 @@ def test_mixing_keeps_the_characters_of_texts(spark):
     assert whole > 100
 
 
+def test_mixing_copies_no_text(spark):
+    from pathlib import Path
+
+    from bindscape.functions import session
+
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.choice(list("abcdefghijklmnop"), 4000)), "st"[k % 2]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    session.settle(docs.select("doc_id"))
+    root = Path(session._scratch_root(spark).removeprefix("file:"))
+    files = lambda: {p: p.stat().st_size for p in root.rglob("*.parquet")}
+    before = files()
+    got = mix_documents(docs)
+    assert sum(n for p, n in files().items() if p not in before) < 0.3 * sum(len(r[1]) for r in rows)
+    assert got.count() > 50
+
+
+def test_mixing_keeps_apart_equal_and_nearly_equal_rows(spark):
+    schema = "doc_id long, text string, source string, lang string, tags array<string>, notes map<string, string>"
+    one = (1, "a b c d", "s", None, [None, "x"], {"k": "v"})
+    rows = [one] * 5 + [(1, "a b c d", None, "s", [None, "x"], {"k": "v"}), (1, None, "s", "a b c d", None, None)]
+    rows += [(1, "a b c d", "s", None, ["x", None], {"k": "w"}), (None, "e f", "s", None, None, None), (None, "e f", "s", None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = mix_documents(docs).collect()
+    key = lambda r: (r[0], r[2], r[3], tuple(r[4] or ()), str(r[5]))
+    most, found = Counter(map(key, rows)), Counter(map(key, got))
+    assert all(found[k] <= most[k] for k in found) and found[key(one)] > 1
+    assert all(set(r.text.split()) <= set("a b c d".split() if r.doc_id else "e f".split()) and r.text.strip() for r in got)
+
+
 def test_mixing_draws_a_block_once(spark):
     rows = [(k, "a b c " * (k % 50), "st"[k % 2]) for k in range(100)]
     sized = mixing._sized(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", [])
